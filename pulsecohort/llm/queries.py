@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, neardup, rules, store, suffix
-from .common import load
+from . import bpe, chat, decontam, neardup, quality, rules, sitetree, store, suffix, toxicity
+from .common import load, train_fold
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,16 @@ WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PROBE = "\\### Assistant: </turn> ok"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents")
+    found = toxicity.score_documents(documents, toxicity.learn(documents, load(spark, sf_dir, "labels")))
+    return found.select("doc_id", F.coalesce(~train_fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "documents"), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -27,10 +37,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.decontaminate(documents, load(spark, sf_dir, "benchmark")).select("doc_id", "n_items", "item_ids", "lcs_share", "kept")
+
+
 def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(load(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.main_text(load(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql("select * from values (-7L, 0L, 'user'), (-7L, 1L, 'assistant') as t(conv_id, turn, role)").withColumn("text", F.lit(PROBE))
