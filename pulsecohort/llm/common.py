@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zlib
 
@@ -32,14 +34,25 @@ def scratch(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop shuffle files that nothing refers to any more: it does so when the driver collects its garbage.
+
+    The first collection frees what held them, the second them.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -95,6 +108,13 @@ def _cut(column: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return flat, offsets - offsets[0]
 
 
+def small_batches(rows, most: int = 1000):
+    """Arrow batches of at most ``most`` rows, so that what a batch becomes in Python stays small."""
+    for b in rows:
+        for i in range(0, b.num_rows, most):
+            yield b.slice(i, most)
+
+
 def sliced(rows, column: str, limit: int):
     """Arrow batches cut and joined into tables of about ``limit`` bytes of text; a longer text is a table of its own."""
     held, size = [], 0

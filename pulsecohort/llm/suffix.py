@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bytes_of, corpus_bytes, sliced
+from .common import NO_ID, bytes_of, corpus_bytes, release, settle, sliced
 
 PREFIX = 25
 #: Input bytes for which a bucket is made.
@@ -50,9 +50,8 @@ CHUNK_BYTES, SEGMENT = 8 << 20, 2 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_RUN = np.dtype([("key", "<u8"), ("run", "<u4"), ("doc", "<u4"), ("lo", "<u4"), ("n", "u1")])
-_PAIR = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<u4"), ("lo", "<u4")])
-_SPAN = np.dtype([("row", "<i8"), ("id", "<i8"), ("lo", "<i8"), ("n", "<i4")])
+#: Bytes of a rank pair that travel: what the bucket leaves of the first rank, and the second.
+KEY_BYTES, NAME_BYTES = 6, 5
 SPAN, OPEN, MARK = 0, 1, 2
 
 
@@ -172,50 +171,112 @@ def _owners(offsets: np.ndarray, a: int, n: int) -> np.ndarray:
     return np.cumsum(step) + int(np.searchsorted(offsets, a, "right") - 1)
 
 
-def _deal(kind: int, items: np.ndarray, bucket: np.ndarray, rows: np.ndarray, ids: np.ndarray):
-    """Packed rows (kind, bucket, payload): items by bucket, with the documents they mention."""
+def _split(kind: int, bucket: np.ndarray, pack) -> list[tuple[int, int, bytes]]:
+    """Rows (kind, bucket, payload) of items dealt by bucket, their order within one kept."""
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
-    items, bucket = items[order], bucket[order]
-    cut = np.flatnonzero(np.diff(bucket)) + 1
-    for part, b in zip(np.split(items, cut), bucket[np.append(0, cut)] if len(bucket) else []):
-        used, doc = np.unique(part["doc"], return_inverse=True)
-        part = part.copy()
-        part["doc"] = doc
-        yield kind, int(b), len(used).to_bytes(4, "little") + rows[used].astype("<i8").tobytes() + ids[used].astype("<i8").tobytes() + part.tobytes()
-
-
-def _opened(payload: bytes, dtype: np.dtype):
-    n = int.from_bytes(payload[:4], "little")
-    rows = np.frombuffer(payload, "<i8", n, 4)
-    ids = np.frombuffer(payload, "<i8", n, 4 + 8 * n)
-    return rows, ids, np.frombuffer(payload, dtype, -1, 4 + 16 * n)
-
-
-def _spans(kind: int, row, ident, lo, n, buckets: int):
-    """Packed spans dealt by document."""
-    out = np.empty(len(lo), _SPAN)
-    out["row"], out["id"], out["lo"], out["n"] = row, ident, lo, n
-    bucket = out["row"] % buckets
-    order = np.argsort(bucket, kind="stable")
-    out, bucket = out[order], bucket[order]
-    cut = np.flatnonzero(np.diff(bucket)) + 1
-    for part, b in zip(np.split(out, cut), bucket[np.append(0, cut)] if len(bucket) else []):
-        yield kind, int(b), part.tobytes()
-
-
-def _gather(tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], dtype: np.dtype):
-    """Several opened payloads as one, document numbers running on."""
-    base, rows, ids, items = 0, [], [], []
-    for r, i, x in tables:
-        x = x.copy()
-        x["doc"] += base
-        base += len(r)
-        rows.append(r)
-        ids.append(i)
-        items.append(x)
-    if not items:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
-    return np.concatenate(rows), np.concatenate(ids), np.concatenate(items)
+    ends = np.append(np.flatnonzero(np.diff(bucket[order])) + 1, len(order))
+    starts = np.append(0, ends[:-1])
+    return [(kind, int(bucket[order[i]]), pack(order[i:j])) for i, j in zip(starts, ends)]
+
+
+def _bytes_of_low(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of unsigned 64-bit numbers, one byte plane after another."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _low_of_bytes(raw: memoryview, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def _width(x: np.ndarray) -> int:
+    return max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+
+
+def pack_items(key: np.ndarray, name: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray, row: np.ndarray, ids: np.ndarray, buckets: int, kind: int = OPEN):
+    """Items by bucket = key modulo ``buckets``: what is left of the key, the name, and the documents with gaps between starts.
+
+    Items must come in the order of documents and starts. Columns are stored one
+    after another in as few bytes as they need, so a run takes some 13 bytes.
+    """
+    quotient = key // np.uint64(buckets)
+
+    def pack(at: np.ndarray) -> bytes:
+        used, first, count = np.unique(doc[at], return_index=True, return_counts=True)
+        gap = lo[at].astype(np.int64)
+        gap[1:] -= lo[at[:-1]]
+        gap[first] = lo[at[first]]
+        size = n[at].astype(np.uint64)
+        widths = [_width(c) for c in (count, gap, size)]
+        head = np.array([len(at), len(used), *widths], "<i8").tobytes()
+        cols = [_bytes_of_low(quotient[at], KEY_BYTES), _bytes_of_low(name[at], NAME_BYTES), _bytes_of_low(gap.astype(np.uint64), widths[1]), _bytes_of_low(size, widths[2])]
+        return head + row[used].astype("<i8").tobytes() + ids[used].astype("<i8").tobytes() + _bytes_of_low(count.astype(np.uint64), widths[0]) + b"".join(cols)
+
+    return _split(kind, (key % np.uint64(buckets)).astype(np.int64), pack)
+
+
+def unpack_items(payload: bytes):
+    """Row and id of each item's document, quotient, name, start and length."""
+    raw = memoryview(payload)
+    k, d, wc, wg, wn = np.frombuffer(raw[:40], "<i8").tolist()
+    at = 40
+
+    def take(size: int) -> memoryview:
+        nonlocal at
+        at += size
+        return raw[at - size : at]
+
+    row, ids = np.frombuffer(take(8 * d), "<i8"), np.frombuffer(take(8 * d), "<i8")
+    count = _low_of_bytes(take(wc * d), d, wc).astype(np.int64)
+    quotient, name = _low_of_bytes(take(KEY_BYTES * k), k, KEY_BYTES), _low_of_bytes(take(NAME_BYTES * k), k, NAME_BYTES)
+    gap, size = _low_of_bytes(take(wg * k), k, wg).astype(np.int64), _low_of_bytes(take(wn * k), k, wn).astype(np.int64)
+    total = np.cumsum(gap)
+    first = np.cumsum(count) - count
+    lo = total - np.repeat(total[first] - gap[first], count)
+    return np.repeat(row, count), np.repeat(ids, count), quotient, name, lo, size
+
+
+def pack_spans(kind: int, row: np.ndarray, lo: np.ndarray, n: np.ndarray, buckets: int):
+    """Spans (start, windows) by document; those that touch or overlap are joined."""
+    order = np.lexsort((lo, row))
+    row, lo, n = row[order], lo[order].astype(np.int64), n[order].astype(np.int64)
+    if len(row) and kind == SPAN:
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (lo[1:] > lo[:-1] + n[:-1])
+        first = np.flatnonzero(new)
+        end = np.maximum.reduceat(lo + n, first)
+        row, lo = row[first], lo[first]
+        n = end - lo
+
+    def pack(at: np.ndarray) -> bytes:
+        used, count = np.unique(row[at], return_counts=True)
+        at = at[np.argsort(row[at], kind="stable")]
+        widths = [_width(c) for c in (count, lo[at], n[at])]
+        return np.array([len(at), len(used), *widths], "<i8").tobytes() + used.astype("<i8").tobytes() + b"".join(_bytes_of_low(c.astype(np.uint64), w) for c, w in zip((count, lo[at], n[at]), widths))
+
+    return _split(kind, row % buckets, pack)
+
+
+def unpack_spans(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = memoryview(payload)
+    k, d, wc, wl, wn = np.frombuffer(raw[:40], "<i8").tolist()
+    row = np.frombuffer(raw[40 : 40 + 8 * d], "<i8")
+    at = 40 + 8 * d
+    count = _low_of_bytes(raw[at:], d, wc).astype(np.int64)
+    at += wc * d
+    lo = _low_of_bytes(raw[at:], k, wl).astype(np.int64)
+    return np.repeat(row, count), lo, _low_of_bytes(raw[at + wl * k :], k, wn).astype(np.int64)
+
+
+def _joined(parts: list[tuple], columns: int, kinds: tuple) -> list[np.ndarray]:
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(columns)]
+
+
+_ITEM = (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64)
+_MARKS = (np.int64, np.int64, np.int64)
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -238,6 +299,23 @@ def _table(found) -> pa.Table:
     return pa.Table.from_batches([_batch(found)])
 
 
+def _first_of(new: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Id of the first member of each item's group, groups beginning where ``new``."""
+    return ids[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(new) else ids
+
+
+def _later(key, name, n, ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items sorted by rank pair and id: the order, which have an earlier document in their group, and where groups begin."""
+    order = np.lexsort((ids, n, name, key))
+    new = _heads(key[order], name[order], n[order])
+    return order, ids[order] > _first_of(new, ids[order]), new
+
+
+def _short(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The first rank cut so that what a bucket leaves of it fits in ``KEY_BYTES``."""
+    return _mix(key) % (np.uint64(min(buckets, 1 << 15)) << np.uint64(8 * KEY_BYTES))
+
+
 def _emit_runs(prefix: int, buckets: int):
     def run(rows):
         for t in sliced(rows, "text", CHUNK_BYTES):
@@ -246,44 +324,42 @@ def _emit_runs(prefix: int, buckets: int):
             doc, lo, n, key, name = runs_of(flat, offsets, prefix)
             if not len(doc):
                 continue
-            x = np.empty(len(doc), _RUN)
-            x["key"], x["run"], x["doc"], x["lo"], x["n"] = key, name >> np.uint64(32), doc, lo, n
-            order = np.lexsort((x["lo"], row[doc], ids[doc], x["n"], x["run"], x["key"]))
-            x = x[order]
-            group = _heads(x["key"], x["run"], x["n"])
-            at = np.flatnonzero(group)
-            first = at[np.cumsum(group) - 1]
-            later = ids[x["doc"]] > ids[x["doc"][first]]
-            again = ~later & ~_heads(x["key"], x["run"], x["n"], x["doc"])
-            # the earliest documents of a group go on, with the first of each one's equal runs; a mark has the cut look for the others
-            yield _batch([*_deal(OPEN, x[~later & ~again], _mix(x["key"][~later & ~again]) % np.uint64(buckets), row, ids)])
-            for kind, pick in ((SPAN, later), (MARK, again)):
-                s = x[pick]
-                if len(s):
-                    if kind == MARK:
-                        s = s[np.unique(s["doc"], return_index=True)[1]]
-                    found = list(_spans(kind, row[s["doc"]], ids[s["doc"]], s["lo"], s["n"], buckets))
-                    yield _batch(found)
+            key, name = _short(key, buckets), name >> np.uint64(64 - 8 * NAME_BYTES)
+            order, late, _ = _later(key, name, n, ids[doc])
+            again = np.zeros(len(doc), bool)
+            # of equal runs of one document the first goes on, and a mark has the cut look for the others
+            by = np.lexsort((lo, doc, n, name, key))
+            again[by] = ~_heads(key[by], name[by], n[by], doc[by])
+            later = np.zeros(len(doc), bool)
+            later[order] = late
+            go = np.flatnonzero(~later & ~again)
+            found = pack_items(key[go], name[go], doc[go], lo[go], n[go], row, ids, buckets)
+            found += pack_spans(SPAN, row[doc[later]], lo[later], n[later], buckets)
+            marked = np.unique(doc[again & ~later])
+            found += pack_spans(MARK, row[marked], 0 * marked, 0 * marked, buckets)
+            yield _batch(found)
 
     return run
 
 
+def _opened(table: pa.Table):
+    """Rows of other kinds as they are, and all items of the open ones."""
+    kinds, buckets, payloads = (table.column(c).to_pylist() for c in ("kind", "bucket", "payload"))
+    return [x for x in zip(kinds, buckets, payloads) if x[0] != OPEN], [p for k, p in zip(kinds, payloads) if k == OPEN]
+
+
 def _rerank_runs(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
-        found = [(k, b, p) for k, b, p in zip(kinds, table.column("bucket").to_pylist(), payloads) if k != OPEN]
-        rows, ids, x = _gather([_opened(p, _RUN) for k, p in zip(kinds, payloads) if k == OPEN], _RUN)
-        if len(x):
-            x = x[np.lexsort((rows[x["doc"]], ids[x["doc"]], x["n"], x["run"], x["key"]))]
-            group = _heads(x["key"], x["run"], x["n"])
-            first = np.flatnonzero(group)[np.cumsum(group) - 1]
-            later = ids[x["doc"]] > ids[x["doc"][first]]
-            s = x[later]
-            found += _spans(SPAN, rows[s["doc"]], ids[s["doc"]], s["lo"], s["n"], buckets)
-            keys = _heads(x["key"])
-            kind = np.add.reduceat(group, np.flatnonzero(keys))[np.cumsum(keys) - 1]
-            s = x[~later & (kind > 1)]
-            found += _spans(OPEN, rows[s["doc"]], ids[s["doc"]], s["lo"], s["n"], buckets)
+        found, payloads = _opened(table)
+        row, ids, key, name, lo, n = _joined([unpack_items(p) for p in payloads], 6, _ITEM)
+        order, late, new = _later(key, name, n, ids)
+        s = order[late]
+        found += pack_spans(SPAN, row[s], lo[s], n[s], buckets)
+        keys = _heads(key[order])
+        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(keys))[np.cumsum(keys) - 1] if len(order) else np.zeros(0)
+        s = order[~late & (kinds > 1)]
+        # two spans of one document that touch stay two: each is a run of its own
+        found += pack_spans(OPEN, row[s], lo[s], n[s], buckets)
         return _table(found)
 
     return run
@@ -291,45 +367,38 @@ def _rerank_runs(buckets: int):
 
 def _double(prefix: int, buckets: int):
     def run(_, texts: pa.Table, asked: pa.Table) -> pa.Table:
-        kinds, payloads = asked.column("kind").to_pylist(), asked.column("payload").to_pylist()
-        found = [(k, b, p) for k, b, p in zip(kinds, asked.column("bucket").to_pylist(), payloads) if k != OPEN]
-        wanted = np.concatenate([np.frombuffer(p, _SPAN) for k, p in zip(kinds, payloads) if k == OPEN] or [np.zeros(0, _SPAN)])
-        if len(wanted) and texts.num_rows:
-            row, ids = texts.column("row").to_numpy(), texts.column("id").to_numpy()
-            flat, offsets = bytes_of(texts.column("text"))
-            number = {r: i for i, r in reversed(list(enumerate(row.tolist())))}
-            doc = np.fromiter((number[r] for r in wanted["row"].tolist()), np.int64, len(wanted))
-            n = wanted["n"].astype(np.int64)
-            lo = np.repeat(wanted["lo"], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            doc = np.repeat(doc, n)
-            at = lo + offsets[doc]
-            a, b = names_at(flat, at, prefix), names_at(flat, at + prefix, prefix)
-            x = np.empty(len(lo), _PAIR)
-            x["a"], x["b"], x["doc"], x["lo"] = _mix(a ^ (b << np.uint64(1))), b >> np.uint64(32), doc, lo
-            x = x[np.lexsort((x["lo"], ids[doc], x["b"], x["a"]))]
-            group = _heads(x["a"], x["b"])
-            first = np.flatnonzero(group)[np.cumsum(group) - 1]
-            later = ids[x["doc"]] > ids[x["doc"][first]]
-            found += _deal(OPEN, x[~later], x["a"][~later] % np.uint64(buckets), row, ids)
-            s = x[later]
-            found += _spans(SPAN, row[s["doc"]], ids[s["doc"]], s["lo"], np.ones(len(s), np.int32), buckets)
-        return _table(found)
+        _, payloads = _opened(asked)
+        want, lo, n = _joined([unpack_spans(p) for p in payloads], 3, _MARKS)
+        if not len(want) or not texts.num_rows:
+            return _table([])
+        row, ids = texts.column("row").to_numpy(), texts.column("id").to_numpy()
+        flat, offsets = bytes_of(texts.column("text"))
+        number = np.argsort(row, kind="stable")
+        doc = np.repeat(number[np.searchsorted(row[number], want)], n)
+        lo = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((lo, doc))
+        doc, lo = doc[order], lo[order]
+        at = lo + offsets[doc]
+        a, b = names_at(flat, at, prefix), names_at(flat, at + prefix, prefix)
+        key, name = _short(a ^ (b << np.uint64(1)), buckets), b >> np.uint64(64 - 8 * NAME_BYTES)
+        one = np.ones(len(doc), np.int64)
+        order, late, new = _later(key, name, one, ids[doc])
+        later = np.zeros(len(doc), bool)
+        later[order] = late
+        go = np.flatnonzero(~later)
+        found = pack_items(key[go], name[go], doc[go], lo[go], one[go], row, ids, buckets)
+        return _table(found + pack_spans(SPAN, row[doc[later]], lo[later], one[later], buckets))
 
     return run
 
 
 def _rerank_pairs(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
-        found = [(k, b, p) for k, b, p in zip(kinds, table.column("bucket").to_pylist(), payloads) if k != OPEN]
-        rows, ids, x = _gather([_opened(p, _PAIR) for k, p in zip(kinds, payloads) if k == OPEN], _PAIR)
-        if len(x):
-            x = x[np.lexsort((x["lo"], ids[x["doc"]], x["b"], x["a"]))]
-            group = _heads(x["a"], x["b"])
-            first = np.flatnonzero(group)[np.cumsum(group) - 1]
-            s = x[ids[x["doc"]] > ids[x["doc"][first]]]
-            found += _spans(SPAN, rows[s["doc"]], ids[s["doc"]], s["lo"], np.ones(len(s), np.int32), buckets)
-        return _table(found)
+        found, payloads = _opened(table)
+        row, ids, key, name, lo, n = _joined([unpack_items(p) for p in payloads], 6, _ITEM)
+        order, late, _ = _later(key, name, n, ids)
+        s = order[late]
+        return _table(found + pack_spans(SPAN, row[s], lo[s], n[s], buckets))
 
     return run
 
@@ -347,10 +416,10 @@ def _cut(prefix: int):
 
     def run(_, texts: pa.Table, given: pa.Table) -> pa.Table:
         kinds, payloads = given.column("kind").to_pylist(), given.column("payload").to_pylist()
-        marked = {r for k, p in zip(kinds, payloads) if k == MARK for r in np.frombuffer(p, _SPAN)["row"].tolist()}
-        spans = np.concatenate([np.frombuffer(p, _SPAN) for k, p in zip(kinds, payloads) if k == SPAN] or [np.zeros(0, _SPAN)])
-        spans = spans[np.argsort(spans["row"], kind="stable")]
-        key = spans["row"]
+        marked = {r for k, p in zip(kinds, payloads) if k == MARK for r in unpack_spans(p)[0].tolist()}
+        key, starts_, counts_ = _joined([unpack_spans(p) for k, p in zip(kinds, payloads) if k == SPAN], 3, _MARKS)
+        order = np.argsort(key, kind="stable")
+        key, starts_, counts_ = key[order], starts_[order], counts_[order]
         rows = texts.column("row").to_numpy()
         flat, offsets = bytes_of(texts.column("text"))
         total, removed, runs, digest, raws = [], [], [], [], []
@@ -360,7 +429,7 @@ def _cut(prefix: int):
             if a == b or len(body) < need:
                 kept, gone, n = body, 0, 0
             else:
-                lo, count = spans["lo"][a:b].astype(np.int64), spans["n"][a:b].astype(np.int64)
+                lo, count = starts_[a:b], counts_[a:b]
                 if int(rows[i]) in marked:
                     h = names_at(body, np.arange(len(body) - need + 1), need)
                     starts = np.unique(np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
@@ -393,14 +462,16 @@ def remove_repeats(documents: DataFrame, prefix: int = PREFIX) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     buckets = max(8, -(-corpus_bytes(docs) // BUCKET_BYTES))
     docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("row", F.xxhash64("doc_id", "text", "lang", "source"))
-    ranked = (
-        docs.select("row", "id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_emit_runs(prefix, buckets), _OUT)
-        .groupBy("bucket").applyInArrow(_rerank_runs(buckets), _OUT)
-    )
+    runs = docs.select("row", "id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_emit_runs(prefix, buckets), _OUT)
+    # the runs are most of what is dealt: once they are reranked their shuffle can go
+    ranked = settle(runs.groupBy("bucket").applyInArrow(_rerank_runs(buckets), _OUT), "ranked")
+    release(docs.sparkSession)
     texts = docs.withColumn("bucket", F.pmod("row", F.lit(buckets).cast("long")))
-    pairs = texts.groupBy("bucket").cogroup(ranked.groupBy("bucket")).applyInArrow(_double(prefix, buckets), _OUT).groupBy("bucket").applyInArrow(_rerank_pairs(buckets), _OUT)
+    asked, known = ranked.where(F.col("kind") == OPEN).toDF("kind", "bucket", "payload"), ranked.where(F.col("kind") != OPEN).toDF("kind", "bucket", "payload")
+    pairs = texts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_double(prefix, buckets), _OUT).groupBy("bucket").applyInArrow(_rerank_pairs(buckets), _OUT)
+    spans = known.unionByName(pairs)
     out = "doc_id long, lang string, source string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string"
-    return texts.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_cut(prefix), out)
+    return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_cut(prefix), out)
 
 
 def kept_text(raw: bytes) -> str:
