@@ -24,16 +24,17 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+from array import array
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import small_batches, texts_of
 
 #: States that a worker makes; beyond them the machine runs without storing. Tables of pieces and pairs are begun anew when full.
-TABLE_LIMIT = 150_000
+TABLE_LIMIT = 40_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -215,22 +216,25 @@ class Transducer:
 
 
 class Recent:
-    """Results for pieces, of which the last two generations are kept."""
+    """Results for pieces, of which the last two generations are kept. ``make`` gives those of a list of pieces."""
 
-    def __init__(self, make, limit: int = 3 * TABLE_LIMIT):
+    def __init__(self, make, limit: int):
         self.make, self.limit = make, limit
         self.young: dict = {}
         self.old: dict = {}
 
     def of(self, pieces) -> dict:
         """A table that has all of these pieces."""
-        new = set(pieces) - self.young.keys()
+        # by lookups: a set less a dictionary's keys would walk the whole dictionary
+        new = [p for p in set(pieces) if p not in self.young]
         if new:
             if len(self.young) + len(new) > self.limit:
-                self.old, self.young, new = self.young, {}, set(pieces)
-            for p in new:
-                found = self.old.get(p)
-                self.young[p] = self.make(p) if found is None else found
+                self.old, self.young, new = self.young, {}, list(set(pieces))
+            known = [p for p in new if p in self.old]
+            self.young.update(zip(known, map(self.old.__getitem__, known)))
+            if len(known) < len(new):
+                new = [p for p in new if p not in self.young]
+                self.young.update(zip(new, self.make(new)))
         return self.young
 
 
@@ -241,7 +245,8 @@ class Encoder:
         self.transducer = Transducer(ranks)
         # the two libraries' \s differ in four control characters
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.known = Recent(lambda p: b"".join(i.to_bytes(4, "little") for i in self.transducer.encode_piece(p.encode())))
+        encode = self.transducer.encode_piece
+        self.known = Recent(lambda new: [array("I", encode(p.encode())).tobytes() for p in new], 5 * TABLE_LIMIT)
 
     def __call__(self, text: str) -> bytes:
         pieces = self.split(text)
@@ -259,7 +264,7 @@ class StreamDecoder:
     def _move(self, held: bytes, i: int) -> tuple[str, bytes]:
         machine = codecs.getincrementaldecoder("utf-8")(self.errors)
         text = machine.decode(held + self.token[i])
-        if len(self.moves) >= TABLE_LIMIT:
+        if len(self.moves) >= 2 * TABLE_LIMIT:
             self.moves.clear()
         known = self.moves[held, i] = (text, machine.getstate()[0])
         return known
@@ -308,7 +313,7 @@ def encode_documents(documents: DataFrame, vocabulary_path: str, pattern: str) -
 
     def run(rows):
         encode, _ = _machines(sent.value, pattern)
-        for b in rows:
+        for b in small_batches(rows):
             ids = [encode(t) for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -321,7 +326,7 @@ def decode_documents(encoded: DataFrame, vocabulary_path: str, pattern: str) ->
 
     def run(rows):
         _, decode = _machines(sent.value, pattern)
-        for b in rows:
+        for b in small_batches(rows):
             texts = [decode(memoryview(x or b"").cast("I")) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
