@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Learning. Every learning row gives the set of its words and of their prefixes;
+Learning. At most ``FIT_ROWS`` labelled rows are learned from. Each gives the set of its words and of their prefixes;
 documents with and without the label are counted for each. A word's rate has
 its prefix's rate as Dirichlet prior, a prefix the shorter prefix's, that one
 the base rate; a rate against the base rate is a log-odds score. Only features
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import settle, texts_of, train_fold
 
+#: Labelled rows that are learned from at most: those with the least hashes of their ids.
+FIT_ROWS = 50_000
 LEXICON = 50_000
 PREFIXES = (5, 4)
 PRIOR = 10.0
@@ -214,8 +216,10 @@ def _logistic(bins: dict[tuple[float, int], int]) -> tuple[float, float]:
 def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Learn from the rows of ``train_fold`` that have a 0 / 1 label."""
     known = labels.where(train_fold(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = settle(documents.where(train_fold(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(known, "doc_id").select("text", "label"), "toxic-rows")
+    # at most FIT_ROWS pairs of numbers go to every worker, so no text is dealt
+    rows = settle(documents.where(train_fold(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(known), "doc_id").select("text", "label"), "toxic-rows")
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Model()
