@@ -42,6 +42,8 @@ from .common import salted_lookup, settle, texts_of
 DECAY = 0.9
 THRESHOLD = 0.2
 LEAST_PAGES = 20
+#: Characters of removed elements up to which they are sent to every worker; beyond, they are joined.
+BROADCAST_CHARS = 4 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
@@ -289,8 +291,12 @@ def _style_trees(parsed: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
     parsed = settle(_parse(pages), "pages")
-    trees = _style_trees(parsed)
-    both = salted_lookup(parsed, trees, ["host"], "left", F.monotonically_increasing_id())
+    trees = settle(_style_trees(parsed), "trees")
+    size = trees.agg(F.coalesce(F.sum(F.length("host") + F.length(F.array_join("low", ""))), F.lit(0)).alias("n")).first()["n"]
+    if size <= BROADCAST_CHARS:
+        both = parsed.join(F.broadcast(trees), "host", "left")
+    else:
+        both = salted_lookup(parsed, trees, ["host"], "left", F.monotonically_increasing_id())
     inside = lambda b: F.exists("low", lambda p: F.startswith(F.concat(F.array_join(b["path"], "/"), F.lit("/")), F.concat(p, F.lit("/"))))
     kept = F.filter("blocks", lambda b: b["keep"] & (b["inside"] | F.col("low").isNull() | ~inside(b)))
     return both.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
