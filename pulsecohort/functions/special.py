@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def erf(x: Column) -> Column:
@@ -61,7 +62,7 @@ def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
     return float(min(1.0, 2 * counts[math.ceil(top) :].sum() / counts.sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_mann_whitney(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([mann_whitney_exact(a, int(b), int(c)) if a == a and b > 0 and c > 0 else None for a, b, c in zip(u, n1, n2)], dtype="float64")
 
@@ -97,7 +98,7 @@ def t_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) if a == a and b > 0 else None for a, b in zip(t, df)], dtype="float64")
 
@@ -113,7 +114,7 @@ def kolmogorov_p(distance: float, n1: int, n2: int) -> float:
     return min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 50)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ks_p(distance: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([kolmogorov_p(d, int(a), int(b)) if d == d and a > 0 and b > 0 else None for d, a, b in zip(distance, n1, n2)], dtype="float64")
 

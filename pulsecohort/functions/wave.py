@@ -71,7 +71,7 @@ def cumulative(v: Column) -> Column:
 
 def at(v: Column, i: Column) -> Column:
     """The sample at a position; null outside."""
-    return F.try_element_at(v, (i + 1).cast("int"))
+    return F.get(v, i.cast("int"))
 
 
 def argmax(v: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +76,13 @@ def wiener(df: DataFrame, v: str, window: int = 7) -> DataFrame:
 def gaussian_kernel(sigma: float = 1.25) -> list[float]:
     radius = max(1, math.ceil(3 * sigma))
     k = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    return list(k / k.sum())
+    return (k / k.sum()).tolist()
 
 
 def savgol_kernel(window: int = 9, order: int = 2) -> list[float]:
     """Weights of the least-squares polynomial's value at the middle."""
     at = np.arange(window) - window // 2
-    return list(np.linalg.pinv(np.vander(at, order + 1, increasing=True))[0])
+    return np.linalg.pinv(np.vander(at, order + 1, increasing=True))[0].tolist()
 
 
 def gaussian(v: Column, sigma: float = 1.25) -> Column:
@@ -143,13 +143,19 @@ def whittaker_1d(y: np.ndarray, smooth: float = 100.0, rounds: int = 5, cut: flo
     return np.where(ok, z, np.nan)
 
 
-@F.pandas_udf("array<double>")
-def whittaker(v: pd.Series) -> pd.Series:
-    out = []
-    for x in v:
-        y = np.array([np.nan if s is None else s for s in x], float) if x is not None else None
-        out.append(None if y is None else [None if np.isnan(s) else float(s) for s in whittaker_1d(y)])
-    return pd.Series(out)
+def whittaker(df: DataFrame, v: str) -> DataFrame:
+    """``df`` with the waveform in ``v`` smoothed, in Arrow batches."""
+    at = df.columns.index(v)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x in b.column(at).to_pylist():
+                y = None if x is None else whittaker_1d(np.array([np.nan if s is None else s for s in x], float))
+                out.append(None if y is None else [None if np.isnan(s) else float(s) for s in y])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def denoise(waveforms: DataFrame) -> DataFrame:
@@ -161,7 +167,7 @@ def denoise(waveforms: DataFrame) -> DataFrame:
     k = wave.count(F.col("v"))
     status = F.when(k == 0, 1).when(k < LEAST_SAMPLES, 2).when(F.col("finite_fraction") < LEAST_SHARE, 3).otherwise(0)
     v = v.withColumn("status_code", status).withColumn("original", F.col("v")).withColumn("v", gap_fill(F.col("v")))
-    d = despike(v, "v").withColumn("v", whittaker("v"))
+    d = whittaker(despike(v, "v"), "v")
     d = d.withColumn("v", preserve_area(clip_to_input(F.col("v"), F.col("original")), gap_fill(F.col("original"))))
     d = d.withColumn("v", F.when(F.col("status_code") == 0, F.zip_with("v", "original", lambda a, b: F.when(b.isNotNull(), a))))
     return d.withColumn("original_vs_filtered_corr", F.when(F.col("status_code") == 0, correlation(F.col("original"), F.col("v")))).drop("original")

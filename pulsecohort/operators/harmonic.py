@@ -25,14 +25,14 @@ def coefficients(waveforms: DataFrame, highest: int = HIGHEST) -> DataFrame:
     """Harmonics 0 .. min(highest, n / 2) of every waveform without a missing sample."""
     v = wave.clean(F.col("v"))
     whole = waveforms.withColumn("v", v).where("size(v) >= 2 and not exists(v, x -> x is null)")
-    return whole.select(*SEGMENT, F.posexplode(wave.spectrum(F.col("v"), highest)).alias("h", "c")).select(*SEGMENT, "h", F.col("c.re").alias("re"), F.col("c.im").alias("im"))
+    return whole.select(*SEGMENT, F.posexplode_outer(wave.spectrum(F.col("v"), highest)).alias("h", "c")).select(*SEGMENT, "h", F.col("c.re").alias("re"), F.col("c.im").alias("im"))
 
 
 def normalised(waveforms: DataFrame, highest: int = HIGHEST) -> DataFrame:
     """c = V_h / V_1 for h >= 2, its relative amplitude, and whether it counts; null where V_1 vanishes."""
     first = wave.at(F.col("c"), F.lit(1))
     v = waveforms.withColumn("v", wave.clean(F.col("v"))).where("size(v) >= 2 and not exists(v, x -> x is null)").withColumn("c", wave.spectrum(F.col("v"), highest))
-    rows = v.select(*SEGMENT, first.alias("one"), F.posexplode("c").alias("h", "c")).where("h >= 2")
+    rows = v.select(*SEGMENT, first.alias("one"), F.posexplode_outer("c").alias("h", "c")).where("h >= 2")
     one = wave.power(F.col("one"))
     size = F.sqrt(wave.power(F.col("c")))
     rows = rows.withColumn("rel_amp", size / (F.sqrt(one) + EPS)).withColumn("valid", (F.col("rel_amp") > LEAST_RELATIVE) & (F.sqrt(one) > EPS))

@@ -32,7 +32,7 @@ def evaluate_metrics(values: DataFrame, fixed: DataFrame) -> DataFrame:
     deviation = F.col("direction") * (F.col("value") - F.col("threshold"))
     out = out.withColumn("abnormal", F.coalesce(deviation >= 0, F.lit(False)))
     z = F.when(~F.col("available"), F.lit(None)).when(~F.col("abnormal"), 0.0).when(F.col("control_std") > 0, deviation / F.col("control_std")).otherwise(1.0)
-    out = out.withColumn("z", z.cast("double")).withColumn("z_capped", F.least(F.lit(1.0), F.col("z"))).withColumn("weighted_contribution", F.col("weight") * F.col("z_capped"))
+    out = out.withColumn("z", z.cast("double")).withColumn("z_capped", F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), F.col("z")))).withColumn("weighted_contribution", F.col("weight") * F.col("z_capped"))
     return out.withColumn("message", F.when(~F.col("available"), F.format_string("metric %s is missing or not finite", F.col("metric"))).otherwise(""))
 
 

@@ -150,7 +150,7 @@ def harmonic_diagnostics(waveforms: DataFrame, highest: int = HIGHEST) -> DataFr
     """Per harmonic 1 .. highest: magnitude, phase, energy, shares and the rolloff of the higher ones."""
     keys = [c for c in KEYS if c in waveforms.columns]
     base = prepared(waveforms).where("ok").withColumn("c", wave.spectrum(F.col("z"), highest))
-    rows = base.select(*keys, F.posexplode("c").alias("h", "c")).where("h > 0")
+    rows = base.select(*keys, F.posexplode_outer("c").alias("h", "c")).where("h > 0")
     rows = rows.withColumn("magnitude", F.sqrt(wave.power(F.col("c")))).withColumn("energy", wave.power(F.col("c"))).withColumn("phase", F.atan2("c.im", "c.re"))
     from pyspark.sql import Window
 
@@ -168,7 +168,7 @@ def diagnostics(waveforms: DataFrame) -> DataFrame:
     """Per sample: tau, the rectified signal, cumulative profile, its excess over tau, first and second derivative."""
     keys = [c for c in KEYS if c in waveforms.columns]
     base = prepared(waveforms).where("ok").withColumn("g2", wave.gradient(F.col("g"), F.col("dt")))
-    rows = base.select(*keys, "T", "n", "m0", "dt", "d", "g", "g2", F.posexplode("z").alias("i", "signal"))
+    rows = base.select(*keys, "T", "n", "m0", "dt", "d", "g", "g2", F.posexplode_outer("z").alias("i", "signal"))
     tau = F.col("i") / F.col("n")
     scale = F.pow(F.col("m0") * F.col("dt") + EPS, 2)
     d, g, g2 = (wave.at(F.col(c), F.col("i")) for c in ("d", "g", "g2"))

@@ -87,7 +87,10 @@ def model_segment(profile: np.ndarray) -> dict | None:
     rows = [resample(p, X_POINTS, 9) for p in profile]
     if any(r is None for r in rows):
         return None
-    v = np.stack([c for c in (resample(x, T_POINTS, 2) for x in np.stack(rows).T) if c is not None], 1)
+    columns = [resample(x, T_POINTS, 2) for x in np.stack(rows).T] if rows else [None]
+    if any(c is None for c in columns):
+        return None
+    v = np.stack(columns, 1)
     a, x0, y0, r0 = projected_parabola(v.mean(axis=0))
     radius = r0 * PIXEL * profile.shape[1] / X_POINTS
     if not np.isfinite(radius) or radius <= 0 or radius > MOST_RADIUS:

@@ -173,7 +173,9 @@ metrics as (
   select acq, cohort, beat, branch, radius, metric, value from (select {KEYS}, RI, PI, SF_VTI from shape) unpivot (value for metric in (RI, PI, SF_VTI)))"""
 
 VARIABILITY = f"""
-cell as (select *, quantile_cont(value, 0.5) over (partition by acq, cohort, metric, beat) as mb, quantile_cont(value, 0.5) over (partition by acq, cohort, metric, branch, radius) as ms from metrics where value is not null),
+ofbeat as (select acq, metric, beat, quantile_cont(value, 0.5) as mb from metrics where value is not null group by acq, metric, beat),
+ofseg as (select acq, metric, branch, radius, quantile_cont(value, 0.5) as ms from metrics where value is not null group by acq, metric, branch, radius),
+cell as (select m.*, mb, ms from metrics m join ofbeat using (acq, metric, beat) join ofseg using (acq, metric, branch, radius) where value is not null),
 overseg as (
   select acq, cohort, metric, beat, quantile_cont(value, 0.5) as med, case when count(*) = 1 then 0 else stddev_samp(value) end as std, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) as iqr,
          quantile_cont(abs(value - mb), 0.5) as mad, case when count(*) = 1 then 0 else stddev_samp(value) end / (abs(avg(value)) + {EPS}) as cv
