@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -34,12 +35,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Recent, read_vocabulary
-from .common import NO_ID, salted_lookup, scratch, settle, texts_of
+from .common import NO_ID, keeps, only, release, salted_lookup, scratch, settle, small_batches, texts_of
 
+#: Words of which a worker keeps the ids, in each of two generations.
+WORDS_KEPT = 250_000
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 64, 8192
 END_ID = 1
 
 
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_STOPS = re.compile(rb"([a-z])([.,])(?=\s|$)").sub
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -53,17 +60,28 @@ class WordEncoder:
         library = Tokenizer.from_str(definition.decode())
         kinds = json.loads(definition)
         parts = (kinds.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        if kinds["model"].get("type") != "BPE" or not parts or parts[0].get("behavior") != "Removed" or kinds.get("post_processor"):
+        if kinds["model"].get("type") != "BPE" or not parts or parts[0].get("behavior") != "Removed" or kinds.get("post_processor") or {"type": "Lowercase"} not in (kinds.get("normalizer") or {}).get("normalizers", []):
             raise ValueError("this tokenizer may join across white space")
 
-        def make(word: bytes) -> bytes:
-            ids = library.encode(word.decode(), add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
+        def make(words: list[bytes]) -> list[bytes]:
+            if any(b"<|" in w for w in words):
+                return [np.array(library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+            texts = [w.decode() for w in words]
+            starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+            found = library.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            # ids of a word are those that begin in it
+            ends = np.searchsorted([o[0] for o in found.offsets], starts)
+            return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-        self.known = Recent(make)
+        self.known = Recent(make, WORDS_KEPT)
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.encode().split()
+        raw = text.encode()
+        if b"<|" not in raw:  # only the added tokens tell upper case from lower
+            # a stop or comma after a letter and before white space is a piece of its own
+            raw = _STOPS(rb"\1 \2", raw.translate(_LOWER))
+        words = raw.split()
         return np.frombuffer(b"".join(map(self.known.of(words).__getitem__, words)), "<u4")
 
 
@@ -104,9 +122,10 @@ def _encoded(docs: DataFrame, definition: bytes, end_id: int, make_encoder) -> D
     sent = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(rows):
+        only("store")
         encode = _encoder(sent.value, make_encoder)
         seen: set[bytes] = set()
-        for b in rows:
+        for b in small_batches(rows):
             ids, out = b.column(0).to_pylist(), [[] for _ in range(9)]
             for i, text in zip(ids, texts_of(b.column(1))):
                 stream = np.append(encode(text), np.uint32(end_id)).astype("<u4")
@@ -133,6 +152,7 @@ def _encoded(docs: DataFrame, definition: bytes, end_id: int, make_encoder) -> D
 
 
 _made: dict = {}
+keeps("store", _made.clear)
 
 
 def _encoder(definition: bytes, make_encoder):
@@ -153,6 +173,7 @@ def write_store(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
     chunks = pieces.groupBy(F.col("c.names").alias("name")).agg(F.first("c.sizes").alias("n"), F.first("c.widths").alias("width"), F.first("c.datas").alias("data"))
     chunks.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/chunks")
 
+    release(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = encoded.select("key", "doc_id", "tie", "n_tokens", "names", "root").repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").withColumn("part", F.spark_partition_id())
     ordered = settle(ordered, "ordered")
