@@ -108,6 +108,28 @@ def _cut(column: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return flat, offsets - offsets[0]
 
 
+_tables: dict[str, object] = {}
+_owner = ""
+
+
+def keeps(owner: str, clear) -> None:
+    """``owner`` keeps tables in a worker between tasks; ``clear`` drops them."""
+    _tables[owner] = clear
+
+
+def only(owner: str) -> None:
+    """A worker keeps the tables of one operator at a time: the others' go when this one's task begins."""
+    global _owner
+    if owner != _owner:
+        for k, clear in _tables.items():
+            if k != owner:
+                clear()
+        if _owner in _tables:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _owner = owner
+
+
 def small_batches(rows, most: int = 1000):
     """Arrow batches of at most ``most`` rows, so that what a batch becomes in Python stays small."""
     for b in rows:

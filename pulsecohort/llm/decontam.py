@@ -3,14 +3,16 @@
 1. Texts become word hashes (lower case, ASCII punctuation as white space).
    Words fall into ``FEATURES`` hashed features; passages of ``PASSAGE`` words
    give document frequencies over all rows, hence idf weights.
-2. One pass over all passages sums Y = sum of a (a' Omega) for their normalised
-   TF-IDF vectors a and a fixed Gaussian Omega of ``RANK`` columns. Y is a sketch
+2. One pass over the passages of some ``FIT_DOCUMENTS`` documents (all, if there
+   are no more) sums Y = sum of a (a' Omega) for their normalised TF-IDF vectors
+   a and a fixed Gaussian Omega of ``RANK`` columns. Y is a sketch
    of the Gram matrix; the Nystrom form Y (Omega' Y)^-1 Y' gives its singular
-   vectors, which is a randomised SVD of the passages in one distributed pass.
+   vectors, which is a randomised SVD in one distributed pass.
    Partial sums are added in blocks of features.
 3. Every text is cut into blocks of ``STEP`` words; windows of blocks are
    projected (centred, components scaled to unit variance) and compared with the
-   projected benchmark passages. Windows over the cosine ``NEAR`` are candidates.
+   projected benchmark passages. Windows over the cosine ``NEAR`` that also share
+   ``SHARED`` of a passage's informative words are candidates.
 4. A candidate's surroundings are held against the whole item: the longest
    common subsequence of words must reach ``SAME`` of the item, or ``PARAPHRASE``
    of it and ``ANSWER`` of its answer (its last sentence or last third, whichever
@@ -36,13 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Recent
-from .common import settle, texts_of
+from .common import keeps, only, settle, small_batches, texts_of
 
-FEATURES, RANK, PASSAGE, STEP = 1 << 14, 48, 64, 12
+FEATURES, RANK, PASSAGE, STEP = 1 << 14, 32, 64, 12
 #: Words of the windows, short and long, and the item passage length up to which the short ones serve.
 SHORT, LONG, SHORT_ITEM = 24, 48, 33
-NEAR, SAME, PARAPHRASE, ANSWER = 0.5, 0.75, 0.6, 0.8
+NEAR, SHARED, SAME, PARAPHRASE, ANSWER = 0.4, 0.4, 0.75, 0.6, 0.8
+#: Weight from which a word is informative, and the documents that the latent index is fitted on.
+RARE, FIT_DOCUMENTS = 3.0, 20_000
 LEAST_WORDS = 8
 QUERY_BLOCK = 4096
 SUM_BLOCK = 256
@@ -50,23 +53,29 @@ SUM_BLOCK = 256
 _SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
-class WordHashes:
-    def __init__(self):
-        self.known = Recent(lambda w: (xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF).to_bytes(4, "little"))
+class WordHashes(dict):
+    """Word to four bytes of its hash; begun anew when full."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = (xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF).to_bytes(4, "little")
+        return found
 
     def __call__(self, text: str) -> bytes:
-        words = text.lower().encode("utf-8", "surrogatepass").translate(_SPACE).split()
-        return b"".join(map(self.known.of(words).__getitem__, words))
+        if len(self) > 300_000:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.lower().encode("utf-8", "surrogatepass").translate(_SPACE).split()))
 
 
 _hashes = WordHashes()
+keeps("decontam", _hashes.clear)
 
 
 def word_table(documents: DataFrame) -> DataFrame:
     """doc_id, rid and the word hashes (unsigned 32-bit, little-endian) of every whole text."""
 
     def run(batches):
-        for b in batches:
+        only("decontam")
+        for b in small_batches(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([_hashes(t) for t in texts_of(b.column(1))], pa.binary())], names=["doc_id", "rid", "words"])
 
     text = F.col("text").cast("string")
@@ -137,9 +146,15 @@ def frequencies(words: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
                     continue
                 start, _ = _groups(ends, PASSAGE)
                 own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(flat))))
-                f = (flat % FEATURES).astype(np.int64)
+                f = (flat % FEATURES).astype(np.int16)
                 held[:, 1] += np.bincount(f, minlength=FEATURES)
-                held[:, 0] += np.bincount(np.unique(own * FEATURES + f) % FEATURES, minlength=FEATURES)
+                # a passage a row, sorted: a feature counts where it first stands; -1 fills short ones
+                grid = np.full((len(start), PASSAGE), -1, np.int16)
+                grid[own, np.arange(len(flat)) - start[own]] = f
+                grid.sort(axis=1)
+                new = grid >= 0
+                new[:, 1:] &= grid[:, 1:] != grid[:, :-1]
+                held[:, 0] += np.bincount(grid[new], minlength=FEATURES)
                 held[0, 2] += len(start)
         yield _parts(held, _part())
 
@@ -188,14 +203,29 @@ def singular_vectors(y: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.nd
     return u, s**2
 
 
-def projection(words: DataFrame, rank: int = RANK) -> np.ndarray:
-    """What each feature adds to a window's latent vector: idf weighted, centred on the mean word, scaled to equal components."""
+def projection(words: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """What each feature adds to a window's latent vector (idf weighted, centred on the mean word, scaled to equal components), and idf.
+
+    Frequencies are those of all rows. The index is fitted on some
+    ``FIT_DOCUMENTS`` documents, those with the least hashes.
+    """
     df, tf, passages = frequencies(words)
     idf = np.log((passages + 1) / (df + 1)) + 0.1
-    u, s = singular_vectors(gram_sketch(words, idf, rank), rank)
+    share = min(1.0, FIT_DOCUMENTS / max(1, words.count()))
+    fitted = words.where(F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else words
+    u, s = singular_vectors(gram_sketch(fitted, idf, rank), rank)
     out = idf[:, None] * u / np.sqrt(np.maximum(s, s.max(initial=1e-9) * 1e-6))
     centre = (tf[:, None] * out).sum(axis=0) / max(1.0, tf.sum())
-    return (out - centre).astype(np.float32)
+    return (out - centre).astype(np.float32), idf
+
+
+def signatures(words: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """One of 256 bits for each informative word, as four numbers of 64 bits; none for the others."""
+    out = np.zeros((len(words), 4), np.uint64)
+    at = np.flatnonzero(rare[words % FEATURES])
+    bit = (words[at] >> np.uint32(14)) % np.uint32(256)
+    out[at, bit >> np.uint32(6)] = np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64)
+    return out
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -244,27 +274,29 @@ def verdict(item: Item, region: np.ndarray) -> tuple[bool, float]:
     return share >= PARAPHRASE and common_subsequence(item.answer, region) >= ANSWER * len(item.answer), share
 
 
-def _windows(blocks: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of ``length`` blocks in a row within a document, and the first block of each; a shorter document has one."""
+def _windows(blocks: np.ndarray, bits: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of ``length`` blocks in a row within a document, the first block of each, and the bits in them; a shorter document has one."""
     n = len(blocks)
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     last = np.append(first[1:], n) - 1
     end = np.minimum(np.arange(n) + length - 1, np.repeat(last, last - first + 1))
     start = np.flatnonzero((end - np.arange(n) == length - 1) | (np.arange(n) == np.repeat(first, last - first + 1)))
-    out = blocks[start].copy()
+    out, held = blocks[start], bits[start]
     for k in range(1, length):
         more = start + k
         ok = more <= end[start]
         out[ok] += blocks[more[ok]]
-    return out, start
+        held[ok] |= bits[more[ok]]
+    return out, start, held
 
 
-def _search(words: DataFrame, table: np.ndarray, items: list[tuple[int, str]], near: float) -> DataFrame:
+def _search(words: DataFrame, table: tuple[np.ndarray, np.ndarray], items: list[tuple[int, str]], near: float) -> DataFrame:
     """doc_id, rid, item_id, lcs_share, cosine of the verified matches of one block of items."""
     sent = words.sparkSession.sparkContext.broadcast((table, items))
 
     def run(batches):
-        vectors, given = sent.value
+        (vectors, idf), given = sent.value
+        rare = idf >= RARE
         known = [Item(i, t) for i, t in given]
         passages = [(k, p) for k, item in enumerate(known) for p in item.passages()]
         latent = np.stack([vectors[p % FEATURES].sum(axis=0) for _, p in passages])
@@ -272,21 +304,27 @@ def _search(words: DataFrame, table: np.ndarray, items: list[tuple[int, str]], n
         scales = []
         for length, pick in ((SHORT // STEP, [i for i, (_, p) in enumerate(passages) if len(p) < SHORT_ITEM]), (LONG // STEP, [i for i, (_, p) in enumerate(passages) if len(p) >= SHORT_ITEM])):
             if pick:
-                scales.append((length, np.array([passages[i][0] for i in pick]), np.ascontiguousarray(latent[pick].T)))
+                marks = np.stack([np.bitwise_or.reduce(signatures(passages[i][1], rare), axis=0) for i in pick])
+                need = np.ceil(SHARED * np.bitwise_count(marks).sum(axis=1)).astype(np.int64)
+                scales.append((length, np.array([passages[i][0] for i in pick]), np.ascontiguousarray(latent[pick].T), marks, need))
         for b in batches:
             found: list[tuple] = []
-            for flat, ends, row in _flat(b.column(2), 1 << 18):
+            for flat, ends, row in _flat(b.column(2), 1 << 14):
                 if not len(flat):
                     continue
                 start, doc = _groups(ends, STEP)
                 blocks = np.add.reduceat(vectors[flat % FEATURES], start, axis=0)
+                bits = np.bitwise_or.reduceat(signatures(flat, rare), start, axis=0)
                 best: dict[tuple[int, int], list] = {}
-                for length, owner, queries in scales:
-                    sums, at = _windows(blocks, doc, length)
+                for length, owner, queries, marks, need in scales:
+                    sums, at, held = _windows(blocks, bits, doc, length)
                     sums /= np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]
                     for a in range(0, len(sums), 8192):
                         cosine = sums[a : a + 8192] @ queries
-                        for w, q in zip(*np.nonzero(cosine >= near)):
+                        ws, qs = np.nonzero(cosine >= near)
+                        # a candidate must also share informative words before its words are held against the item
+                        both = np.bitwise_count(held[a + ws] & marks[qs]).sum(axis=1) >= need[qs]
+                        for w, q in zip(ws[both], qs[both]):
                             k = int(owner[q])
                             spot = int(start[at[a + w]])
                             best.setdefault((int(doc[at[a + w]]), k), []).append((spot, spot + length * STEP, float(cosine[w, q])))
@@ -336,7 +374,7 @@ def _item_blocks(benchmark: DataFrame):
 
 def leaks(documents: DataFrame, benchmark: DataFrame, near: float = NEAR) -> DataFrame:
     """doc_id, rid, item_id, lcs_share, cosine of every document that holds an item."""
-    words = settle(word_table(documents), "words")
+    words = settle(word_table(documents), "words", "snappy")
     table, out = None, None
     for items in _item_blocks(benchmark):
         if table is None:
