@@ -225,13 +225,13 @@ def lr_energy(spark, sf_dir):
 
 
 def lr_centred(spark, sf_dir):
-    return lowrank.centred_columns(views.line_items(spark, sf_dir)).select(*ID, *rounded(None, ["mu", "rms_x"], 3))
+    return lowrank.centred_columns(views.line_items(spark, sf_dir)).select(*ID, *rounded(None, ["mu", "rms_x"], 6))
 
 
 register("lr_rank_one", lr_rank_one)
 register("lr_tensor", lr_tensor)
 register("lr_energy", lr_energy)
-register("lr_centred_columns", lr_centred, f"{sql.ctes('line_items')} select {sql.KEYS}, round(avg(raw), 3) as mu, round(stddev_pop(raw) * sqrt(count(raw) / max(n)), 3) as rms_x from samples group by k, {sql.KEYS} having count(raw) / max(n) >= 0.95")
+register("lr_centred_columns", lr_centred, f"{sql.ctes('line_items')} select {sql.KEYS}, round(avg(raw), 6) as mu, round(stddev_pop(raw) * sqrt(count(raw) / max(n)), 6) as rms_x from samples group by k, {sql.KEYS} having count(raw) / max(n) >= 0.95")
 
 
 # artery and vein ----------------------------------------------------------------------------------------------------------------
@@ -440,7 +440,7 @@ def tp_regions(spark, sf_dir):
 
 
 def tp_unmatched(spark, sf_dir):
-    a = views.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("branch"))
+    a = views.load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("branch"))
     b = views.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("branch"))
     return topology.unmatched(a, b, ["branch"])
 
@@ -449,7 +449,7 @@ register("tp_quadrant_majority", tp_quadrant, f"{_PIXELS} select label, quadrant
 register("tp_region_median", tp_regions, f"""{sql.shape('line_items').replace('with ', _PIXELS + ', ', 1)}, reg as (select distinct label % 3 as branch, unnest([quadrant, quadrant[1], quadrant[2]]) as region from best)
   select acq, region, beat, round(quantile_cont(RI, 0.5), 6) as RI, round(quantile_cont(PI, 0.5), 6) as PI from shape join reg using (branch) group by acq, region, beat""")
 register("jn_both_way_anti", tp_unmatched, """select distinct o_custkey as branch, 'branches' as missing_in from orders where o_custkey not in (select c_custkey from customer)
-  union all select distinct c_custkey, 'labels' from customer where c_custkey not in (select o_custkey from orders)""")
+  union all select distinct c_custkey, 'labels' from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')""")
 
 
 # variability --------------------------------------------------------------------------------------------------------------------
