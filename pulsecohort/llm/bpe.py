@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import keeps, only, small_batches, texts_of
 
 #: States that a worker makes; beyond them the machine runs without storing. Tables of pieces and pairs are begun anew when full.
 TABLE_LIMIT = 40_000
@@ -286,6 +286,7 @@ class StreamDecoder:
 
 
 _made: dict[bytes, tuple[Encoder, StreamDecoder]] = {}
+keeps("bpe", _made.clear)
 
 
 def _machines(vocabulary: bytes, pattern: str) -> tuple[Encoder, StreamDecoder]:
@@ -312,6 +313,7 @@ def encode_documents(documents: DataFrame, vocabulary_path: str, pattern: str) -
     sent = documents.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(rows):
+        only("bpe")
         encode, _ = _machines(sent.value, pattern)
         for b in small_batches(rows):
             ids = [encode(t) for t in texts_of(b.column(1))]
@@ -325,6 +327,7 @@ def decode_documents(encoded: DataFrame, vocabulary_path: str, pattern: str) ->
     sent = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(rows):
+        only("bpe")
         _, decode = _machines(sent.value, pattern)
         for b in small_batches(rows):
             texts = [decode(memoryview(x or b"").cast("I")) for x in b.column(2).to_pylist()]

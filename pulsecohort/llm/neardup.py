@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bytes_of, salted_lookup, settle
+from .common import NO_ID, bytes_of, only, salted_lookup, settle, small_batches
 from .components import components
 
 ROWS = 5
@@ -93,7 +93,8 @@ def _signatures(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame
     a, b = minima_parameters(bands * rows)
 
     def run(batches_):
-        for batch in batches_:
+        only("neardup")
+        for batch in small_batches(batches_):
             flat, offsets = bytes_of(batch.column(1))
             raw = flat.tobytes()
             keys, digest_a, digest_b, n = [], [], [], []
@@ -126,7 +127,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = salted_lookup(with_u, centre.join(hubs, "v", "left_semi"), ["v"], "inner", F.col("u"), 8).select("u", "v", "su", "sv")
 
     def run(rows):
-        for b in rows:
+        only("neardup")
+        for b in small_batches(rows):
             su, sv = b.column(2).to_pylist(), b.column(3).to_pylist()
             yield b.select([0, 1]).filter(pa.array([is_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(su, sv)], pa.bool_()))
 
@@ -190,6 +192,7 @@ def _compare_blocks(queries: DataFrame, members: DataFrame, percent: int) -> Dat
     """Spanning edges (u, v) of the links between each query block and each member block of a cluster."""
 
     def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        only("neardup")
         forest, edges = _Forest(), []
         cu, cv = left.column("part").to_pylist(), right.column("part").to_pylist()
         iu, iv = left.column("node").to_pylist(), right.column("node").to_pylist()
@@ -282,7 +285,8 @@ def _class_sets(texts: DataFrame, size: int) -> DataFrame:
     """(node, shingles) for each class: ``texts`` has cid, node and a text, of that class or of a row with the same id."""
 
     def run(rows):
-        for batch in rows:
+        only("neardup")
+        for batch in small_batches(rows):
             flat, offsets = bytes_of(batch.column("text"))
             raw = flat.tobytes()
             ids = batch.column("cid").to_pylist()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bytes_of, salted_lookup, texts_of
+from .common import NO_ID, bytes_of, only, salted_lookup, small_batches, texts_of
 
 MAX_DOCUMENTS = 20
 MAX_SHARE = 0.002
@@ -71,7 +71,8 @@ def document_stats(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with its counts."""
 
     def run(rows):
-        for b in rows:
+        only("rules")
+        for b in small_batches(rows):
             found = [text_stats(t) for t in texts_of(b.column(1))]
             cols = list(zip(*found)) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "rid", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
@@ -83,7 +84,8 @@ def document_lines(docs: DataFrame) -> DataFrame:
     """One row a document with its distinct line keys and the words each holds in it."""
 
     def run(rows):
-        for b in rows:
+        only("rules")
+        for b in small_batches(rows):
             flat, offsets = bytes_of(b.column(1))
             raw = flat.tobytes()
             content, keys, counts = [], [], []
@@ -168,7 +170,8 @@ def apply_quality_rules(documents: DataFrame, host: str = "source", **limits) ->
     at, gone, schema = documents.columns.index("text"), len(documents.columns), documents.schema
 
     def run(batches):
-        for b in batches:
+        only("rules")
+        for b in small_batches(batches):
             texts, keys = b.column(at).to_pylist(), b.column(gone).to_pylist()
             clean = [without_lines(t, set(k)) if k and t else t for t, k in zip(texts, keys)]
             yield pa.RecordBatch.from_arrays([pa.array(clean, b.column(at).type) if i == at else b.column(i) for i in range(gone)], names=b.schema.names[:gone])

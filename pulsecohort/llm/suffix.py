@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bytes_of, corpus_bytes, release, settle, sliced
+from .common import NO_ID, bytes_of, corpus_bytes, only, release, settle, sliced
 
 PREFIX = 25
 #: Input bytes for which a bucket is made.
@@ -318,6 +318,7 @@ def _short(key: np.ndarray, buckets: int) -> np.ndarray:
 
 def _emit_runs(prefix: int, buckets: int):
     def run(rows):
+        only("suffix")
         for t in sliced(rows, "text", CHUNK_BYTES):
             row, ids = t.column("row").to_numpy(), t.column("id").to_numpy()
             flat, offsets = bytes_of(t.column("text"))
