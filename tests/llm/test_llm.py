@@ -198,6 +198,13 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert all(got[i] == f"text number {i} is {i * i}" for i in range(30)) and all(got[100 + i] == "one page copied" for i in range(30))
 
 
+def test_style_tree_judges_inside_article(spark):
+    boxes = "".join(f"<div class=b{c}>Read us every day</div>" for c in "abcdefghijkl")
+    pages = [(i, f"http://s.example/{i}", f"<body><article><h1>Title {i}</h1><p>text number {i} is {i * i}</p>{boxes}</article></body>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in sitetree.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} text number {i} is {i * i}" for i in range(30)}
+
+
 def test_maximal_segments():
     g = np.random.default_rng(8)
     for _ in range(200):
