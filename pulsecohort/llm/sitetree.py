@@ -16,8 +16,10 @@ host of fewer than ``LEAST_PAGES`` distinct pages has too little to merge.
 ``article`` and ``main`` are merged like the rest, but in them an element goes
 only under ``THRESHOLD_INSIDE``. Apart from the tree, an element goes on its own declaration: navigation, header, footer,
 sidebar, form, script, style, notice, advert or comments, by tag, role, class
-or id. When a page declares ``article`` or ``main``, what lies outside is not
-its main text.
+or id. When one ``article`` or ``main`` holds most of a page's undeclared text,
+what lies outside it is not the page's main text. It must not be under a declared element nor
+have a class or id that declares it (``_side``); without such a root all
+undeclared blocks are left to the tree.
 
 Defined results: null or empty html gives an empty text; markup that never
 closes is read to its end; a null url is a host of its own; repeated rows each
@@ -89,15 +91,28 @@ def _declared(name: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if name in CONTENT or name in ("body", "html"):
         return False
-    own = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()
-    return bool(own.strip()) and bool(BOILERPLATE.search(own))
+    return bool(BOILERPLATE.search(_names(attributes)))
 
 
-def page_blocks(html: str) -> list[tuple[str, tuple[str, ...], bool, bool]]:
-    """Blocks of a page in order: text, path of elements, declared boilerplate, inside article or main."""
-    # an open element: tag, label, declared, inside content
-    stack: list[tuple[str, str, bool, bool]] = []
-    out: list[tuple[str, tuple[str, ...], bool, bool]] = []
+def _names(attributes: dict[str, str]) -> str:
+    return re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()
+
+
+def _side(name: str, attributes: dict[str, str]) -> int:
+    """Whether a class or id speaks against an article or main: 2 a whole name of an article (``comment``), 1 a part of one (``tag-social``), 0 none."""
+    if name not in CONTENT or not attributes:
+        return 0
+    own = _names(attributes)
+    whole = name == "article" and any((m := BOILERPLATE.search(x)) and m[0] == x for x in own.split())
+    return 2 if whole else int(bool(BOILERPLATE.search(own)))
+
+
+def page_blocks(html: str) -> list[tuple[str, tuple[str, ...], bool, int]]:
+    """Blocks of a page in order: text, path of elements, declared boilerplate, number of the article or main that may be the page's root (0 for none)."""
+    # an open element: tag, label, declared, inside content, root, in an article that declares itself
+    stack: list[tuple[str, str, bool, bool, int, bool]] = []
+    out: list[tuple[str, tuple[str, ...], bool, int, bool]] = []
+    roots = 0
     parts: list[str] = []
     where: tuple = ()
 
@@ -106,8 +121,8 @@ def page_blocks(html: str) -> list[tuple[str, tuple[str, ...], bool, bool]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                top = where[-1] if where else ("", "", False, False)
-                out.append((text, tuple(x[1] for x in where if x[0] in BLOCK or x[0] not in _INLINE), top[2], top[3]))
+                top = where[-1] if where else ("", "", False, False, 0, False)
+                out.append((text, tuple(x[1] for x in where if x[0] in BLOCK or x[0] not in _INLINE), top[2], top[4], top[5]))
             parts.clear()
 
     at, n = 0, len(html)
@@ -164,11 +179,26 @@ def page_blocks(html: str) -> list[tuple[str, tuple[str, ...], bool, bool]]:
                 break
         if name in VOID or piece.endswith("/>"):
             continue
-        above = stack[-1] if stack else ("", "", False, False)
+        above = stack[-1] if stack else ("", "", False, False, 0, False)
         label = name + "." + re.sub(r"\d+", "#", ".".join(sorted(attributes.get("class", "").split()))) if attributes.get("class") else name
-        stack.append((name, label, above[2] or _declared(name, attributes, above[3]), above[3] or name in CONTENT))
+        declared, side, root = above[2] or _declared(name, attributes, above[3]), _side(name, attributes), above[4]
+        if name in CONTENT and not (declared or side or root or above[5]):
+            root = roots = roots + 1
+        stack.append((name, label, declared, above[3] or name in CONTENT, root, above[5] or side == 2))
     flush()
-    return out
+    # an article that declares itself is believed where other text stands
+    other = any(not drop and not aside for _, _, drop, _, aside in out)
+    return [(text, path, drop or (aside and other), root) for text, path, drop, root, aside in out]
+
+
+def page_root(blocks: list[tuple[str, tuple[str, ...], bool, int]]) -> int:
+    """The article or main that holds most of the page's undeclared text; 0 if none does."""
+    held = Counter()
+    for text, _, drop, root in blocks:
+        if not drop:
+            held[root] += len(text)
+    root = max((r for r in held if r), key=held.__getitem__, default=0)
+    return root if 2 * held[root] > sum(held.values()) else 0
 
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
@@ -191,10 +221,10 @@ def _parse(pages: DataFrame) -> DataFrame:
             hosts, contents, blocks = [], [], []
             for url, page in zip(b.column(1).to_pylist(), texts_of(b.column(2))):
                 found = page_blocks(page)
-                declared = any(x[3] for x in found)
+                main = page_root(found)
                 hosts.append(host_of(url) if url else "\x00null")
                 contents.append(_key("\x00".join(x[0] for x in found if not x[2])))
-                blocks.append([{"text": t, "path": list(p), "keep": not drop and (inside or not declared), "drop": drop} for t, p, drop, inside in found])
+                blocks.append([{"text": t, "path": list(p), "keep": not drop and main in (0, root), "drop": drop} for t, p, drop, root in found])
             kind = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.string())), ("keep", pa.bool_()), ("drop", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(blocks, kind)], names=["page_id", "url", "host", "content", "blocks"])
 

@@ -198,6 +198,23 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert all(got[i] == f"text number {i} is {i * i}" for i in range(30)) and all(got[100 + i] == "one page copied" for i in range(30))
 
 
+def test_content_root_holds_the_page():
+    def text(body):
+        found = sitetree.page_blocks(f"<body>{body}</body>")
+        root = sitetree.page_root(found)
+        return " ".join(t for t, _, drop, r in found if not drop and root in (0, r))
+
+    body = "<p>The body of the post, long enough</p>"
+    plain = "The body of the post, long enough"
+    assert text(f"<div class='post'>{body}</div><section id='comments'><article><p>hi</p></article></section>") == plain
+    assert text(f"<div class='post'>{body}</div><aside><article><p>teaser</p></article></aside>") == plain
+    assert text(f"<div class='post'>{body}</div><div class=x><article>one</article><article>two</article></div>") == plain + " one two"
+    assert text(f"<div class='post'>{body}</div><article class=comment>hi</article>") == plain
+    assert text(f"<article>{body}<article class=comment>hi</article></article><div>elsewhere</div>") == plain
+    assert text(f"<main class=has-sidebar><article class=tag-social>{body}</article></main>") == plain
+    assert text(f"<article class=notice>{body}</article>") == plain
+
+
 def test_style_tree_judges_inside_article(spark):
     boxes = "".join(f"<div class=b{c}>Read us every day</div>" for c in "abcdefghijkl")
     pages = [(i, f"http://s.example/{i}", f"<body><article><h1>Title {i}</h1><p>text number {i} is {i * i}</p>{boxes}</article></body>") for i in range(30)]
