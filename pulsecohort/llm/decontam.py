@@ -12,7 +12,11 @@
 3. Every text is cut into blocks of ``STEP`` words; windows of blocks are
    projected (centred, components scaled to unit variance) and compared with the
    projected benchmark passages. Windows over the cosine ``NEAR`` that also share
-   ``SHARED`` of a passage's informative words are candidates.
+   ``SHARED`` of a passage's informative words are candidates. So is, whatever its
+   cosine, every place that can hold an item at all: at most a ``PARAPHRASE``
+   complement of an item's words may be missing, so of that many of its rarest
+   words and ``MORE`` further ones, ``MORE`` stand within twice its length. This
+   gate loses nothing that the check of words would accept.
 4. A candidate's surroundings are held against the whole item: the longest
    common subsequence of words must reach ``SAME`` of the item, or ``PARAPHRASE``
    of it and ``ANSWER`` of its answer (its last sentence or last third, whichever
@@ -47,6 +51,8 @@ NEAR, SHARED, SAME, PARAPHRASE, ANSWER = 0.4, 0.4, 0.75, 0.6, 0.8
 #: Weight from which a word is informative, and the documents that the latent index is fitted on.
 RARE, FIT_DOCUMENTS = 3.0, 20_000
 LEAST_WORDS = 8
+#: Of an item's rarest words, those that must be met beyond what may be missing.
+MORE = 4
 QUERY_BLOCK = 4096
 SUM_BLOCK = 256
 
@@ -274,6 +280,76 @@ def verdict(item: Item, region: np.ndarray) -> tuple[bool, float]:
     return share >= PARAPHRASE and common_subsequence(item.answer, region) >= ANSWER * len(item.answer), share
 
 
+def least_words(item: Item) -> int:
+    """The fewest words in order that ``verdict`` accepts."""
+    n = len(item.words)
+    return n if n < LEAST_WORDS else next(k for k in range(n + 1) if k / n >= PARAPHRASE)
+
+
+class Gate:
+    """Places that can hold an item: of its rarest words, one more than may be missing and so on up to ``MORE``, enough stand within twice its length."""
+
+    def __init__(self, items: list[Item], idf: np.ndarray):
+        words, owner, weight, need = [], [], [], []
+        for k, item in enumerate(items):
+            n, least = len(item.words), least_words(item)
+            need.append(min(MORE, least))
+            rarest = np.argsort(-idf[item.words % FEATURES], kind="stable")[: n - least + need[-1]]
+            u, times = np.unique(item.words[rarest], return_counts=True)
+            words.append(u)
+            weight.append(times)
+            owner.append(np.full(len(u), k))
+        flat = np.concatenate(words)
+        order = np.argsort(flat, kind="stable")
+        self.owner, self.weight = np.concatenate(owner)[order], np.concatenate(weight)[order]
+        self.words, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.need, self.width = np.array(need), np.array([2 * len(x.words) for x in items])
+        self.table = np.zeros(1 << 20, bool)
+        self.table[self.words & 0xFFFFF] = True
+
+    def __call__(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, item and position of the words from which on enough of the item's rarest words stand within twice its length."""
+        at = np.flatnonzero(self.table[flat & 0xFFFFF])
+        i = np.minimum(np.searchsorted(self.words, flat[at]), len(self.words) - 1)
+        same = self.words[i] == flat[at]
+        at, i = at[same], i[same]
+        count = self.count[i]
+        pos = np.repeat(at, count)
+        entry = np.repeat(self.first[i] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        key = self.owner[entry] << 32 | pos
+        order = np.argsort(key)
+        key, pos, entry = key[order], pos[order], entry[order]
+        owner = self.owner[entry]
+        doc = np.searchsorted(ends, pos, "right")
+        end = np.searchsorted(key, owner << 32 | np.minimum(pos + self.width[owner], ends[doc]))
+        total = np.concatenate([[0], np.cumsum(self.weight[entry])])
+        hit = total[end] - total[:-1] >= self.need[owner]
+        return doc[hit], owner[hit], pos[hit]
+
+
+def held(item: Item, flat: np.ndarray) -> tuple[float, int]:
+    """The greatest share found of the item's words in order in a part of twice its length that holds it, and where that starts; 0 if none does."""
+    n, top = len(item.words), (0.0, 0)
+    # what the whole doesn't hold, no part of it does
+    if not verdict(item, flat)[0]:
+        return top
+    # no wider than twice the item, so that common words far apart don't add up to it
+    for i in range(0, max(1, len(flat) - n), max(1, n // 2)):
+        ok, share = verdict(item, flat[i : i + 2 * n])
+        if ok:
+            top = max(top, (share, i))
+    if top[0]:
+        return top
+    own = np.isin(flat, item.words)
+    met = np.concatenate([[0], np.cumsum(own)])
+    starts = np.flatnonzero(own)
+    for i in starts[met[np.minimum(starts + 2 * n, len(flat))] - met[starts] >= least_words(item)].tolist():
+        ok, share = verdict(item, flat[i : i + 2 * n])
+        if ok:
+            return share, i
+    return top
+
+
 def _windows(blocks: np.ndarray, bits: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of ``length`` blocks in a row within a document, the first block of each, and the bits in them; a shorter document has one."""
     n = len(blocks)
@@ -301,6 +377,8 @@ def _search(words: DataFrame, table: tuple[np.ndarray, np.ndarray], items: list[
         passages = [(k, p) for k, item in enumerate(known) for p in item.passages()]
         latent = np.stack([vectors[p % FEATURES].sum(axis=0) for _, p in passages])
         latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+        gate = Gate(known, idf)
+        of_item = [latent[[i for i, (j, _) in enumerate(passages) if j == k]] for k in range(len(known))]
         scales = []
         for length, pick in ((SHORT // STEP, [i for i, (_, p) in enumerate(passages) if len(p) < SHORT_ITEM]), (LONG // STEP, [i for i, (_, p) in enumerate(passages) if len(p) >= SHORT_ITEM])):
             if pick:
@@ -317,17 +395,21 @@ def _search(words: DataFrame, table: tuple[np.ndarray, np.ndarray], items: list[
                 bits = np.bitwise_or.reduceat(signatures(flat, rare), start, axis=0)
                 best: dict[tuple[int, int], list] = {}
                 for length, owner, queries, marks, need in scales:
-                    sums, at, held = _windows(blocks, bits, doc, length)
+                    sums, at, seen = _windows(blocks, bits, doc, length)
                     sums /= np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]
                     for a in range(0, len(sums), 8192):
                         cosine = sums[a : a + 8192] @ queries
                         ws, qs = np.nonzero(cosine >= near)
                         # a candidate must also share informative words before its words are held against the item
-                        both = np.bitwise_count(held[a + ws] & marks[qs]).sum(axis=1) >= need[qs]
+                        both = np.bitwise_count(seen[a + ws] & marks[qs]).sum(axis=1) >= need[qs]
                         for w, q in zip(ws[both], qs[both]):
                             k = int(owner[q])
                             spot = int(start[at[a + w]])
                             best.setdefault((int(doc[at[a + w]]), k), []).append((spot, spot + length * STEP, float(cosine[w, q])))
+                for d, k, spot in zip(*(x.tolist() for x in gate(flat, ends))):
+                    # with the extension below, twice the item on both sides
+                    around = len(known[k].words)
+                    best.setdefault((d, k), []).append((spot - around, spot + around, -1.0))
                 for (d, k), spots in best.items():
                     item, low, high = known[k], int(ends[d - 1]) if d else 0, int(ends[d])
                     around = len(item.words)
@@ -341,11 +423,13 @@ def _search(words: DataFrame, table: tuple[np.ndarray, np.ndarray], items: list[
                             joined.append([s, e, c])
                     top = (0.0, 0.0)
                     for s, e, c in joined:
-                        # no wider than twice the item, so that common words far apart don't add up to it
-                        for i in range(s, max(s + 1, e - around), max(1, around // 2)):
-                            ok, share = verdict(item, flat[i : min(e, i + 2 * around)])
-                            if ok:
-                                top = max(top, (share, c))
+                        share, i = held(item, flat[s:e])
+                        if share:
+                            if c < near:
+                                # found by its words alone
+                                part = vectors[flat[s + i : min(e, s + i + 2 * around)] % FEATURES].sum(axis=0)
+                                c = float((of_item[k] @ part).max() / max(1e-9, np.linalg.norm(part)))
+                            top = max(top, (share, c))
                     if top[0]:
                         found.append((row + d, item.number, *top))
             rows = [x[0] for x in found]

@@ -271,6 +271,33 @@ def test_leaks_and_recall(spark):
     assert decontam.decontaminate(docs(spark, []), b).count() == 0
 
 
+def test_recall_against_the_verdict_on_every_place(spark):
+    d, b = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    g = np.random.default_rng(12)
+    hosts = [r["text"].split()[:300] for r in d.orderBy("doc_id").collect() if len((r["text"] or "").split()) >= 60]
+    items = [(r["item_id"], r["text"]) for r in b.collect()]
+    items += [(1000 + i, " ".join(t.split()[:n])) for i, t in items for n in [int(g.integers(5, 20))]]
+    wanted, rows = set(), []
+    for i, text in items:
+        item, n = decontam.Item(i, text), len(text.split())
+        for lost, added in ((0, 0), (0.12, 0), (0.24, 0), (0.38, 0), (0, 0.5), (0, 0.9), (0.2, 0.5)):
+            host, words = hosts[int(g.integers(len(hosts)))], text.split()
+            other = hosts[int(g.integers(len(hosts)))]
+            for j in g.choice(n - n // 3, int(lost * n), replace=False) if lost else ():
+                words[j] = other[int(g.integers(len(other)))]
+            for j in sorted(g.integers(1, n, int(added * n)).tolist(), reverse=True):
+                words.insert(j, other[int(g.integers(len(other)))])
+            at = int(g.integers(len(host)))
+            rows.append((10**6 + len(rows), " ".join([*host[:at], *words, *host[at:]])))
+            flat = np.frombuffer(decontam._hashes(rows[-1][1]), "<u4")
+            if any(decontam.verdict(item, flat[s : s + 2 * len(item.words)])[0] for s in range(len(flat))):
+                wanted.add((rows[-1][0], i))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(spark, rows).select("doc_id", "text").unionByName(d.select("doc_id", "text")), benchmark).collect()}
+    print("places held", len(wanted), "found", len(wanted & found))
+    assert len(wanted) > 300 and wanted <= found
+
+
 def test_common_subsequence():
     g = np.random.default_rng(9)
     for _ in range(50):
