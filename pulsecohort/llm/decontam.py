@@ -20,7 +20,8 @@
 4. A candidate's surroundings are held against the whole item: the longest
    common subsequence of words must reach ``SAME`` of the item, or ``PARAPHRASE``
    of it and ``ANSWER`` of its answer (its last sentence or last third, whichever
-   is longer).
+   is longer). An item of over ``LONG + STEP`` words also leaks by ``SAME`` of one
+   of its passages of ``LONG`` words.
 
 Benchmark items are the stated query set; they are taken ``QUERY_BLOCK`` passages
 at a time, so what is sent to workers is bounded whatever the benchmark's size.
@@ -265,6 +266,16 @@ class Item:
             return [self.words] if n else []
         return [self.words[i : i + LONG] for i in range(0, n - LONG // 2, LONG // 2)]
 
+    def parts(self) -> list[Item]:
+        """The passages of a long item as items whose answer is the whole, so that ``SAME`` of it must be there."""
+        found = self.passages()
+        if len(found) < 2:
+            return []
+        out = [Item(self.number, "") for _ in found]
+        for part, words in zip(out, found):
+            part.words = part.answer = words
+        return out
+
 
 def verdict(item: Item, region: np.ndarray) -> tuple[bool, float]:
     """Whether a region of a text holds the item, and the share of the item's words that stand there in order."""
@@ -377,7 +388,9 @@ def _search(words: DataFrame, table: tuple[np.ndarray, np.ndarray], items: list[
         passages = [(k, p) for k, item in enumerate(known) for p in item.passages()]
         latent = np.stack([vectors[p % FEATURES].sum(axis=0) for _, p in passages])
         latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
-        gate = Gate(known, idf)
+        # long items are searched whole and by their passages
+        entries = [(k, item) for k, item in enumerate(known)] + [(k, part) for k, item in enumerate(known) for part in item.parts()]
+        gate = Gate([x for _, x in entries], idf)
         of_item = [latent[[i for i, (j, _) in enumerate(passages) if j == k]] for k in range(len(known))]
         scales = []
         for length, pick in ((SHORT // STEP, [i for i, (_, p) in enumerate(passages) if len(p) < SHORT_ITEM]), (LONG // STEP, [i for i, (_, p) in enumerate(passages) if len(p) >= SHORT_ITEM])):
@@ -408,10 +421,11 @@ def _search(words: DataFrame, table: tuple[np.ndarray, np.ndarray], items: list[
                             best.setdefault((int(doc[at[a + w]]), k), []).append((spot, spot + length * STEP, float(cosine[w, q])))
                 for d, k, spot in zip(*(x.tolist() for x in gate(flat, ends))):
                     # with the extension below, twice the item on both sides
-                    around = len(known[k].words)
+                    around = len(entries[k][1].words)
                     best.setdefault((d, k), []).append((spot - around, spot + around, -1.0))
-                for (d, k), spots in best.items():
-                    item, low, high = known[k], int(ends[d - 1]) if d else 0, int(ends[d])
+                tops: dict[tuple[int, int], tuple[float, float]] = {}
+                for (d, number), spots in best.items():
+                    (k, item), low, high = entries[number], int(ends[d - 1]) if d else 0, int(ends[d])
                     around = len(item.words)
                     spots.sort()
                     joined: list[list] = []
@@ -429,9 +443,14 @@ def _search(words: DataFrame, table: tuple[np.ndarray, np.ndarray], items: list[
                                 # found by its words alone
                                 part = vectors[flat[s + i : min(e, s + i + 2 * around)] % FEATURES].sum(axis=0)
                                 c = float((of_item[k] @ part).max() / max(1e-9, np.linalg.norm(part)))
+                            if item is not known[k]:
+                                # the share is of the whole item
+                                wide = len(known[k].words)
+                                share = common_subsequence(known[k].words, flat[max(low, s + i - wide) : min(high, s + i + wide)]) / wide
                             top = max(top, (share, c))
                     if top[0]:
-                        found.append((row + d, item.number, *top))
+                        tops[d, k] = max(tops.get((d, k), top), top)
+                found.extend((row + d, known[k].number, *top) for (d, k), top in tops.items())
             rows = [x[0] for x in found]
             yield pa.RecordBatch.from_arrays([
                 b.column(0).take(pa.array(rows, pa.int64())), b.column(1).take(pa.array(rows, pa.int64())), *(pa.array([x[i] for x in found], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()))),

@@ -298,6 +298,14 @@ def test_recall_against_the_verdict_on_every_place(spark):
     assert len(wanted) > 300 and wanted <= found
 
 
+def test_a_passage_of_a_long_item_is_a_leak(spark):
+    words = [f"q{i}x" for i in range(200)]
+    host = " ".join(f"h{i}" for i in range(300))
+    rows = [(1, f"{host} {' '.join(words[50:130])} {host}"), (2, f"{host} {' '.join(words[50:70])} {host}"), (3, f"{host} {' '.join(words)}")]
+    found = {r["doc_id"]: r for r in decontam.leaks(docs(spark, rows), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()}
+    assert sorted(found) == [1, 3] and found[1]["lcs_share"] == 0.4 and found[3]["lcs_share"] == 1.0
+
+
 def test_common_subsequence():
     g = np.random.default_rng(9)
     for _ in range(50):
