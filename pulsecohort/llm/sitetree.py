@@ -11,9 +11,9 @@ entropy of its layouts with its children's importance, the layouts' part
 being 1 - DECAY ** (number of layouts). Elements under ``THRESHOLD`` whose
 descendants all are under it too are removed from each page of the host.
 
-Pages of one content count once, so copies of a page don't look like a menu. A
-host of fewer than ``LEAST_PAGES`` distinct pages has too little to merge.
-``article`` and ``main`` are merged like the rest, but in them an element goes
+Pages of one content count once, so copies of a page don't look like a menu. On few
+pages an importance is evidence of little: it is drawn to 1 as if ``PRIOR``
+further pages had shown the element to matter. ``article`` and ``main`` are merged like the rest, but in them an element goes
 only under ``THRESHOLD_INSIDE``. Apart from the tree, an element goes on its own declaration: navigation, header, footer,
 sidebar, form, script, style, notice, advert or comments, by tag, role, class
 or id. When one ``article`` or ``main`` holds most of a page's undeclared text,
@@ -45,7 +45,7 @@ DECAY = 0.9
 THRESHOLD = 0.2
 #: Inside article and main repetition is weaker evidence: about half of 1,000 pages, where 0.2 is a quarter of them.
 THRESHOLD_INSIDE = 0.1
-LEAST_PAGES = 20
+PRIOR = 1
 #: Characters of removed elements up to which they are sent to every worker; beyond, they are joined.
 BROADCAST_CHARS = 4 << 20
 
@@ -287,7 +287,7 @@ def low_elements(layouts: dict[str, Counter], contents: dict[str, Counter], page
             inner = sum(worth[k] * pages[k] for k in kids[path]) / sum(pages[k] for k in kids[path])
             parts.append((1 - weight) * spread + weight * inner)
         worth[path] = max(parts) if parts else 1.0
-        if worth[path] < _bar(path) and pages[path] >= LEAST_PAGES and low.issuperset(kids[path]):
+        if (m * worth[path] + PRIOR) / (m + PRIOR) < _bar(path) and low.issuperset(kids[path]):
             low.add(path)
     return sorted(p for p in low if p.rpartition("/")[0] not in low)
 
@@ -303,7 +303,8 @@ def _style_trees(parsed: DataFrame) -> DataFrame:
     # contents that stand in one page only are all alike to the formula: they are summed before a host is gathered
     single = (F.col("kind") == 2) & (F.col("n") == 1)
     counts = counts.groupBy("host", "path", "kind", F.when(single, F.lit(None)).otherwise(F.col("what")).alias("what")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("times"))
-    wide = counts.where(f"kind = 0 and n >= {LEAST_PAGES}").select("host").distinct()
+    # on fewer pages an importance of 0 is not under the threshold either
+    wide = counts.where(F.lit(PRIOR) / (F.col("n") + PRIOR) < THRESHOLD).where("kind = 0").select("host").distinct()
 
     def run(table: pa.Table) -> pa.Table:
         layouts, contents, pages = defaultdict(Counter), defaultdict(Counter), {}

@@ -222,6 +222,13 @@ def test_style_tree_judges_inside_article(spark):
     assert got == {i: f"Title {i} text number {i} is {i * i}" for i in range(30)}
 
 
+@pytest.mark.parametrize("n", [3, 6, 12, 19])
+def test_style_tree_of_few_pages(spark, n):
+    pages = [(i, f"http://s.example/{i}", f"<body><div class=top>Welcome to the site</div><div class=body><p>text number {i} is {i * i}</p></div></body>") for i in range(n)]
+    got = {r["page_id"]: r["text"] for r in sitetree.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("" if n > 4 else "Welcome to the site ") + f"text number {i} is {i * i}" for i in range(n)}
+
+
 def test_maximal_segments():
     g = np.random.default_rng(8)
     for _ in range(200):
