@@ -264,8 +264,11 @@ def _bar(path: str) -> float:
     return THRESHOLD_INSIDE if any(x.partition(".")[0] in CONTENT for x in path.split("/")) else THRESHOLD
 
 
-def low_elements(layouts: dict[str, Counter], contents: dict[str, Counter], pages: dict[str, int]) -> list[str]:
-    """The topmost elements of one host's style tree that are under the threshold with all their descendants."""
+def low_elements(layouts: dict[str, Counter], contents: dict[str, Counter], pages: dict[str, int], once: dict[str, int]) -> list[str]:
+    """The topmost elements of one host's style tree that are under the threshold with all their descendants.
+
+    ``once`` counts the contents of a leaf that stand on one page only; their entropy is 0, so that they count in the mean and need no entries.
+    """
     kids: dict[str, list[str]] = defaultdict(list)
     for path in pages:
         if "/" in path:
@@ -275,10 +278,9 @@ def low_elements(layouts: dict[str, Counter], contents: dict[str, Counter], page
     for path in sorted(pages, key=lambda p: -p.count("/")):
         m = pages[path]
         parts = []
-        if path in contents and m > 1:
-            parts.append(1 - sum(math.log(n) / math.log(m) for n in contents[path].values()) / len(contents[path]))
-        elif path in contents:
-            parts.append(1.0)
+        leaves = len(contents.get(path, ())) + once.get(path, 0)
+        if leaves:
+            parts.append(1 - sum(math.log(n) for n in contents.get(path, Counter()).values()) / (math.log(m) * leaves) if m > 1 else 1.0)
         if kids[path]:
             total = sum(layouts[path].values())
             shares = [n / total for n in layouts[path].values()]
@@ -309,19 +311,17 @@ def _style_trees(parsed: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         layouts, contents, pages = defaultdict(Counter), defaultdict(Counter), {}
         host = table.column("host")[0].as_py()
-        ones = Counter()
+        once = Counter()
         for path, kind, what, n, times in zip(*(table.column(c).to_pylist() for c in ("path", "kind", "what", "n", "times"))):
             if kind == 0:
                 pages[path] = n
             elif kind == 1:
                 layouts[path][what] += n
             elif what is None:
-                ones[path] += times
+                once[path] += times
             else:
                 contents[path][what] = n
-        for path, k in ones.items():
-            contents[path].update({("once", i): 1 for i in range(min(k, 1000))} if k else {})
-        low = low_elements(layouts, contents, pages)
+        low = low_elements(layouts, contents, pages, once)
         return pa.table({"host": pa.array([host], pa.string()), "low": pa.array([low], pa.list_(pa.string()))})
 
     return counts.join(wide, "host", "left_semi").groupBy("host").applyInArrow(run, "host string, low array<string>").where("size(low) > 0")

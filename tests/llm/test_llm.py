@@ -229,6 +229,14 @@ def test_style_tree_of_few_pages(spark, n):
     assert got == {i: ("" if n > 4 else "Welcome to the site ") + f"text number {i} is {i * i}" for i in range(n)}
 
 
+def test_contents_of_one_page_all_count(spark):
+    # 9,000 contents on all 20 pages, 20,000 on one each: importance 0.69, but 0.1 if 1,000 of the latter counted
+    page = lambda i: "".join(f"<p>s{j}</p>" for j in range(9000)) + "".join(f"<p>u{i}_{j}</p>" for j in range(1000))
+    pages = [(i, f"http://s.example/{i}", f"<body>{page(i)}</body>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in sitetree.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(len(t.split()) == 10000 for t in got.values())
+
+
 def test_maximal_segments():
     g = np.random.default_rng(8)
     for _ in range(200):
