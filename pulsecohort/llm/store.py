@@ -31,74 +31,128 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Recent, read_vocabulary
-from .common import NO_ID, keeps, only, release, salted_lookup, scratch, settle, small_batches, texts_of
+from .common import NO_ID, keeps, only, release, salted_lookup, scratch, settle, sliced
 
-#: Words of which a worker keeps the ids, in each of two generations.
+#: Pieces of which a worker keeps the ids, in each of two generations.
 WORDS_KEPT = 250_000
+#: Text bytes that are encoded at once, and documents for which a part is made at least.
+BATCH_BYTES, PART_DOCUMENTS = 8 << 20, 100_000
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 64, 8192
 END_ID = 1
+#: Words that the library encodes in one call.
+TOGETHER = 4096
+#: Copies of the chunk table in the join with recipes; what one name still gathers, adaptive execution splits.
+COPIES = 4
 
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_STOPS = re.compile(rb"([a-z])([.,])(?=\s|$)").sub
+#: Letters that composing leaves alone, and ASCII punctuation but apostrophes. Between the former and the latter the splitter always cuts.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_letters, _plain = frozenset(_LETTERS), re.compile(f"[{_LETTERS}]+|[{re.escape(_MARKS)}]+").fullmatch
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
     The file's normaliser turns white space into a space and its splitter never
-    joins across one, so texts are encoded a word at a time and words are kept.
+    joins across one. So Arrow splits a batch of texts into words and numbers
+    the distinct ones; those are taken apart where the splitter would surely do
+    so, and the library encodes the pieces that this worker has not met lately,
+    by its model alone where the splitter and the normaliser have nothing to do.
     """
 
     def __init__(self, definition: bytes):
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_str(definition.decode())
+        self.library = library = Tokenizer.from_str(definition.decode())
         kinds = json.loads(definition)
         parts = (kinds.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if kinds["model"].get("type") != "BPE" or not parts or parts[0].get("behavior") != "Removed" or kinds.get("post_processor") or {"type": "Lowercase"} not in (kinds.get("normalizer") or {}).get("normalizers", []):
             raise ValueError("this tokenizer may join across white space")
-
-        def make(words: list[bytes]) -> list[bytes]:
-            if any(b"<|" in w for w in words):
-                return [np.array(library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words]
-            texts = [w.decode() for w in words]
-            starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
-            found = library.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            # ids of a word are those that begin in it
-            ends = np.searchsorted([o[0] for o in found.offsets], starts)
-            return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        model = library.model
+        # a worker keeps what it needs itself
+        model._resize_cache(0)
+        to_model = {ord(c): "".join(self.byte_names()[x] for x in c.encode()) for c in _LETTERS[26:]}
+        model_only = [x.get("type") for x in parts] == ["Split", "ByteLevel"] and not (parts[1].get("add_prefix_space") or parts[1].get("use_regex"))
+
+        def make(pieces: list[str]) -> list[bytes]:
+            found = dict.fromkeys(pieces, b"")
+            rest = []
+            for p in found:
+                if model_only and _plain(p):
+                    # a piece that is neither split nor changed: only the merges are left to do
+                    found[p] = np.array([t.id for t in model.tokenize(p if p.isascii() else p.translate(to_model))], "<u4").tobytes()
+                elif p:
+                    rest.append(p)
+            for i in range(0, len(rest), TOGETHER):
+                for p, e in zip(rest[i : i + TOGETHER], library.encode_batch_fast(rest[i : i + TOGETHER], add_special_tokens=False)):
+                    found[p] = np.array(e.ids, "<u4").tobytes()
+            return list(found.values())
 
         self.known = Recent(make, WORDS_KEPT)
 
+    @staticmethod
+    def byte_names() -> list[str]:
+        """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next from 256 on."""
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        names, more = [], 256
+        for x in range(256):
+            names.append(chr(x if x in printable else more))
+            more += x not in printable
+        return names
+
+    def words(self, distinct: list[str]) -> list[bytes]:
+        """Ids of each of these words."""
+        heads, tails = list(distinct), {}
+        for i, w in enumerate(distinct):
+            s = w.rstrip(_MARKS)
+            if len(s) < len(w) and s and s[-1] in _letters and "<|" not in w:
+                heads[i], tails[i] = s, w[len(s) :]
+        known = self.known.of({*heads, *tails.values()})
+        ids = list(map(known.__getitem__, heads))
+        for i, tail in tails.items():
+            ids[i] += known[tail]
+        return ids
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts, "")
+        # only the added tokens tell upper case from lower
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(lower.cast(pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        ids = self.words(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at, ends = numbered.indices.to_numpy(), np.cumsum(pc.list_value_length(split).to_numpy()).tolist()
+        return [b"".join(map(ids.__getitem__, at[a:b].tolist())) for a, b in zip([0, *ends], ends)]
+
     def __call__(self, text: str) -> np.ndarray:
-        raw = text.encode()
-        if b"<|" not in raw:  # only the added tokens tell upper case from lower
-            # a stop or comma after a letter and before white space is a piece of its own
-            raw = _STOPS(rb"\1 \2", raw.translate(_LOWER))
-        words = raw.split()
-        return np.frombuffer(b"".join(map(self.known.of(words).__getitem__, words)), "<u4")
-
-
-def cuts(ids: np.ndarray, window: int = WINDOW, bits: int = MEAN_BITS, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Ends of the chunks of one stream: where the rolling hash of the last ``window`` ids ends in ``bits`` zeros, or at ``most``."""
-    n = len(ids)
-    if n <= least:
-        return [n] if n else []
-    x = (ids.astype(np.uint64) + np.uint64(0x51ED)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    h = np.zeros(n, np.uint64)
-    for i in range(min(window, n)):
-        h[i:] += x[: n - i] * np.uint64(pow(0xBF58476D1CE4E5B9, i, 1 << 64))
-    h ^= h >> np.uint64(32)
-    ends = np.flatnonzero((h & np.uint64((1 << bits) - 1)) == 0) + 1
+        return np.frombuffer(self.batch(pa.array([text]))[0], "<u4")
+
+
+def rolling(ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Hash of the last ``window`` ids (a power of two) at every position; of fewer at the start.
+
+    Hashes of 2, 4, 8 ... ids are put together from two of half the length.
+    """
+    h = (ids.astype(np.uint64) + np.uint64(0x51ED)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    span = 1
+    while span < min(window, len(h)):
+        grown = h.copy()
+        grown[span:] += h[:-span] * np.uint64(pow(0xBF58476D1CE4E5B9, span, 1 << 64))
+        h, span = grown, 2 * span
+    return h ^ (h >> np.uint64(32))
+
+
+def cuts(spots: np.ndarray, n: int, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids: at its ``spots``, ascending, if ``least`` ids on, or after ``most`` ids."""
     out, at = [], 0
-    for e in [*ends.tolist(), n]:
+    for e in [*spots.tolist(), n]:
         while e - at > most:
             at += most
             out.append(at)
@@ -108,14 +162,33 @@ def cuts(ids: np.ndarray, window: int = WINDOW, bits: int = MEAN_BITS, least: in
     return out
 
 
+class Merkle:
+    """SHA-256 tree over leaves in order, holding one node for each power of two; a node without a neighbour moves up as it is."""
+
+    def __init__(self):
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        size, node = 1, hashlib.sha256(b"\x00" + leaf).digest()
+        while self.nodes and self.nodes[-1][0] == size:
+            node = hashlib.sha256(b"\x01" + self.nodes.pop()[1] + node).digest()
+            size *= 2
+        self.nodes.append((size, node))
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return hashlib.sha256(b"").digest()
+        node = self.nodes[-1][1]
+        for _, left in reversed(self.nodes[:-1]):
+            node = hashlib.sha256(b"\x01" + left + node).digest()
+        return node
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
-    """SHA-256 tree over the leaves in order; an odd one moves up as it is."""
-    if not leaves:
-        return hashlib.sha256(b"").digest()
-    level = [hashlib.sha256(b"\x00" + x).digest() for x in leaves]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\x01" + b"".join(level[i : i + 2])).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    tree = Merkle()
+    for x in leaves:
+        tree.add(x)
+    return tree.root()
 
 
 def _encoded(docs: DataFrame, definition: bytes, end_id: int, make_encoder) -> DataFrame:
@@ -123,17 +196,25 @@ def _encoded(docs: DataFrame, definition: bytes, end_id: int, make_encoder) -> D
 
     def run(rows):
         only("store")
-        encode = _encoder(sent.value, make_encoder)
+        encoder = _encoder(sent.value, make_encoder)
+        end = np.array([end_id], "<u4").tobytes()
         seen: set[bytes] = set()
-        for b in small_batches(rows):
-            ids, out = b.column(0).to_pylist(), [[] for _ in range(9)]
-            for i, text in zip(ids, texts_of(b.column(1))):
-                stream = np.append(encode(text), np.uint32(end_id)).astype("<u4")
-                width = 2 if stream.max() < 1 << 16 else 4
+        for t in sliced(rows, "text", BATCH_BYTES):
+            ids, texts = t.column(0).to_pylist(), t.column(1).combine_chunks()
+            streams = [x + end for x in encoder.batch(texts)]
+            flat = np.frombuffer(b"".join(streams), "<u4")
+            # a hash that reaches into the text before stands within LEAST ids of a start, where nothing is cut
+            spots = np.flatnonzero((rolling(flat) & np.uint64((1 << MEAN_BITS) - 1)) == 0) + 1
+            width = 2 if flat.max(initial=0) < 1 << 16 else 4
+            raw, salt = flat.astype(f"<u{width}").tobytes(), bytes((width,))
+            base, out = 0, [[] for _ in range(9)]
+            for i, stream in zip(ids, streams):
+                n = len(stream) // 4
+                a, b = np.searchsorted(spots, (base + 1, base + n))
                 at, names, sizes, datas = 0, [], [], []
-                for e in cuts(stream):
-                    data = stream[at:e].astype(f"<u{width}").tobytes()
-                    name = hashlib.sha256(bytes((width,)) + data).digest()
+                for e in cuts(spots[a:b] - base, n):
+                    data = raw[(base + at) * width : (base + e) * width]
+                    name = hashlib.sha256(salt + data).digest()
                     if len(seen) > 200_000:
                         seen.clear()
                     datas.append(None if name in seen else data)
@@ -141,7 +222,8 @@ def _encoded(docs: DataFrame, definition: bytes, end_id: int, make_encoder) -> D
                     names.append(name)
                     sizes.append(e - at)
                     at = e
-                row = (NO_ID if i is None else i, i, len(stream), hashlib.sha256(b"".join(names)).digest()[:8], names, merkle_root(names), sizes, [width] * len(names), datas)
+                base += n
+                row = (NO_ID if i is None else i, i, n, hashlib.sha256(b"".join(names)).digest()[:8], names, merkle_root(names), sizes, [width] * len(names), datas)
                 for column, value in zip(out, row):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
@@ -174,7 +256,7 @@ def write_store(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
     chunks.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/chunks")
 
     release(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-encoded.count() // PART_DOCUMENTS))
     ordered = encoded.select("key", "doc_id", "tie", "n_tokens", "names", "root").repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").withColumn("part", F.spark_partition_id())
     ordered = settle(ordered, "ordered")
     sums = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first"))
@@ -191,19 +273,19 @@ def _manifest(recipes: DataFrame) -> DataFrame:
     """(part, n_documents, n_tokens, root): the Merkle root over the documents of each part in position order."""
 
     def run(rows):
-        part, count, tokens, leaves = None, 0, 0, []
+        part, count, tokens, leaves = None, 0, 0, Merkle()
 
         def done():
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_documents": pa.array([count], pa.int64()), "n_tokens": pa.array([tokens], pa.int64()), "root": pa.array([merkle_root(leaves)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_documents": pa.array([count], pa.int64()), "n_tokens": pa.array([tokens], pa.int64()), "root": pa.array([leaves.root()], pa.binary())})
 
         for b in rows:
             for p, n, root in zip(*(c.to_pylist() for c in b.columns)):
                 if p != part:
                     if part is not None:
                         yield done()
-                    part, count, tokens, leaves = p, 0, 0, []
+                    part, count, tokens, leaves = p, 0, 0, Merkle()
                 count, tokens = count + 1, tokens + n
-                leaves.append(root)
+                leaves.add(root)
         if part is not None:
             yield done()
 
@@ -286,12 +368,12 @@ def verify_store(spark: SparkSession, folder: str) -> DataFrame:
     """
     recipes = spark.read.schema("part int, doc_id long, start long, n_tokens long, names array<binary>, root binary").parquet(f"{folder}/recipes")
     manifests = spark.read.schema("part int, n_documents long, n_tokens long, root binary").parquet(f"{folder}/manifests")
-    broken = _manifest(recipes).exceptAll(manifests).unionByName(manifests.exceptAll(_manifest(recipes)))
-    if not broken.isEmpty():
+    both = _manifest(recipes).withColumn("side", F.lit(1)).unionByName(manifests.withColumn("side", F.lit(-1)))
+    if not both.groupBy("part", "n_documents", "n_tokens", "root").agg(F.sum("side").alias("side")).where("side != 0").isEmpty():
         raise ValueError("recipes don't match their manifests")
     found = _checked_chunks(read_chunks(spark, folder))
     steps = recipes.select("start", F.posexplode("names").alias("at", "name"))
-    steps = salted_lookup(steps, found, ["name"], "left", F.col("start"))
+    steps = salted_lookup(steps, found, ["name"], "left", F.col("start"), COPIES)
     whole = recipes.select("start", "doc_id", "n_tokens", "root").join(steps.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("at", "name", "n", "crc"))).alias("steps")), "start")
 
     def run(rows):
@@ -313,7 +395,7 @@ def verify_store(spark: SparkSession, folder: str) -> DataFrame:
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start and the ids of every document, put together from its chunks."""
     recipes = spark.read.schema("part int, doc_id long, start long, n_tokens long, names array<binary>, root binary").parquet(f"{folder}/recipes")
-    steps = salted_lookup(recipes.select("doc_id", "start", F.posexplode("names").alias("at", "name")), read_chunks(spark, folder), ["name"], "left", F.col("start"))
+    steps = salted_lookup(recipes.select("doc_id", "start", F.posexplode("names").alias("at", "name")), read_chunks(spark, folder), ["name"], "left", F.col("start"), COPIES)
     whole = steps.groupBy("start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "width", "data"))).alias("parts"))
 
     def run(rows):

@@ -1,6 +1,7 @@
 import struct
 import zlib
 from collections import Counter
+from hashlib import sha256
 
 import duckdb
 import numpy as np
@@ -155,6 +156,41 @@ def test_store_round_trip(spark):
     assert store.verify_store(spark, store.write_store(docs(spark, []), queries.WORD_VOCABULARY, store.new_folder(spark))).count() == 0
 
 
+def test_store_equals_the_library_on_all_documents(spark):
+    library = Tokenizer.from_file(queries.WORD_VOCABULARY)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r["doc_id"]: r["ids"] for r in store.read_documents(spark, store.write_store(table, queries.WORD_VOCABULARY, store.new_folder(spark), parts=3)).collect()}
+    assert found == {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in table.collect()}
+
+
+def test_words_are_taken_apart_as_the_library_does():
+    library, encode = Tokenizer.from_file(queries.WORD_VOCABULARY), store.WordEncoder(bpe.read_vocabulary(queries.WORD_VOCABULARY))
+    g = np.random.default_rng(21)
+    alphabet = [*"abzßéÉÅÿ'.,;<>|# \t\n\x0b\x1c\u00a0\u0301\u0338Σς1٣_`^中😀", "<|endoftext|>", "<|StartOfText|>", "'s", "don't", "…"]
+    for _ in range(3000):
+        text = "".join(alphabet[i] for i in g.integers(0, len(alphabet), int(g.integers(0, 25))))
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_chunks_and_trees_by_definition():
+    g = np.random.default_rng(22)
+    ids = g.integers(0, 50_000, 5000).astype("<u4")
+    x = (ids.astype(np.uint64) + np.uint64(0x51ED)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    plain = [sum(int(x[i - j]) * pow(0xBF58476D1CE4E5B9, j, 1 << 64) for j in range(min(16, i + 1))) % (1 << 64) for i in range(len(x))]
+    assert store.rolling(ids).tolist() == [h ^ h >> 32 for h in plain]
+    assert store.cuts(np.array([10, 100, 9000]), 9001) == [100, 8292, 9000, 9001] and store.cuts(np.array([], int), 0) == []
+
+    def by_level(level):
+        while len(level) > 1:
+            level = [sha256(b"\x01" + b"".join(level[i : i + 2])).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0]
+
+    for n in range(1, 40):
+        leaves = [bytes([i]) for i in range(n)]
+        assert store.merkle_root(leaves) == by_level([sha256(b"\x00" + v).digest() for v in leaves])
+
+
 def test_store_notices_damage(spark):
     folder = store.write_store(docs(spark, [(1, LONG)]), queries.WORD_VOCABULARY, store.new_folder(spark))
     bad = store.read_chunks(spark, folder).withColumn("data", F.expr("concat(data, x'0000')"))
