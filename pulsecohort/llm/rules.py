@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import NO_ID, bytes_of, only, salted_lookup, small_batches, texts_of
+from .common import NO_ID, bytes_of, only, salted_lookup, settle, small_batches, texts_of
 
 MAX_DOCUMENTS = 20
 MAX_SHARE = 0.002
@@ -67,21 +68,8 @@ def text_stats(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeated
 
 
-def document_stats(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with its counts."""
-
-    def run(rows):
-        only("rules")
-        for b in small_batches(rows):
-            found = [text_stats(t) for t in texts_of(b.column(1))]
-            cols = list(zip(*found)) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "rid", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
-
-    return docs.select("doc_id", "text", "rid", "host").mapInArrow(run, f"doc_id long, rid long, host string, {_STATS}")
-
-
 def document_lines(docs: DataFrame) -> DataFrame:
-    """One row a document with its distinct line keys and the words each holds in it."""
+    """One row a document: its counts, the distinct keys of its lines and the words it holds in each; its text is read once."""
 
     def run(rows):
         only("rules")
@@ -100,10 +88,13 @@ def document_lines(docs: DataFrame) -> DataFrame:
                         held[key] = held.get(key, 0) + len(words)
                 keys.append(list(held))
                 counts.append(list(held.values()))
-            ids = b.column(0).fill_null(NO_ID)
-            yield pa.RecordBatch.from_arrays([ids, b.column(3), pa.array(content, pa.int64()), b.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_key", "host", "content", "rid", "line_keys", "line_words"])
+            found = [text_stats(t) for t in texts_of(b.column(1))]
+            cols = list(zip(*found)) if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), b.column(0).fill_null(NO_ID), b.column(3), pa.array(content, pa.int64()), b.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), *[pa.array(c, pa.int64()) for c in cols],
+            ], names=["doc_id", "doc_key", "host", "content", "rid", "line_keys", "line_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
-    return docs.select("doc_id", "text", "rid", "host").mapInArrow(run, _LINES)
+    return docs.select("doc_id", "text", "rid", "host").mapInArrow(run, f"doc_id long, {_LINES}, {_STATS}")
 
 
 def frequent_lines(lines: DataFrame, max_documents: int, max_share: float) -> DataFrame:
@@ -128,7 +119,7 @@ def quality_rules(documents: DataFrame, host: str = "source", max_documents: int
     and the same verdict.
     """
     docs = _keyed(documents, host)
-    lines = document_lines(docs)
+    lines = settle(document_lines(docs), "lines")
     frequent = frequent_lines(lines, max_documents, max_share)
     each = lines.select("host", "doc_key", "rid", F.explode(F.arrays_zip("line_keys", "line_words")).alias("x")).select("host", "doc_key", "rid", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words"))
     lost = (
@@ -137,8 +128,7 @@ def quality_rules(documents: DataFrame, host: str = "source", max_documents: int
         .groupBy("rid", "line").agg(F.first("words").alias("words"))
         .groupBy("rid").agg(F.sum("words").cast("long").alias("removed_words"), F.count(F.lit(1)).alias("n_removed_lines"), F.collect_list("line").alias("removed"))
     )
-    stats = document_stats(docs)
-    out = stats.join(lost, "rid", "left")
+    out = lines.drop("host", "content", "doc_key", "line_keys", "line_words").join(lost, "rid", "left")
     removed = F.coalesce("removed_words", F.lit(0).cast("long"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEAT_SHARE) * F.col("n_words"))
     depleted = removed > F.lit(max_loss) * F.col("n_words")
@@ -159,22 +149,31 @@ def line_key(line: bytes) -> int:
 
 def without_lines(text: str, keys: set[int]) -> str:
     """The text without the lines that have one of these keys."""
-    return "\n".join(x for x in text.split("\n") if not (x.strip() and line_key(x.encode()) in keys))
+    return "\n".join(x for x in text.split("\n") if not (x.encode("utf-8", "surrogatepass").split() and line_key(x.encode("utf-8", "surrogatepass")) in keys))
 
 
 def apply_quality_rules(documents: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The kept rows of ``documents`` in their columns, frequent lines taken out of the text and n_chars counted anew."""
-    verdict = quality_rules(documents, host, **limits).where("kept").select("rid", "removed").dropDuplicates(["rid"])
-    site = F.coalesce(F.col(host).cast("string"), F.lit("\x00null"))
-    rows = documents.withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), site, F.col("text").cast("string"))).join(verdict, "rid").drop("rid")
-    at, gone, schema = documents.columns.index("text"), len(documents.columns), documents.schema
+    """The kept rows of ``documents`` in their columns, frequent lines taken out of the text and n_chars counted anew.
+
+    The caller's columns travel in one struct, whatever they are called.
+    """
+    text, site = F.col("text").cast("string"), F.coalesce(F.col(host).cast("string"), F.lit("\x00null"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), site.alias("host"))
+    rows = rows.withColumn("rid", F.xxhash64("doc_id", "host", "text"))
+    # two hashes meet only where the id is the same too
+    verdict = quality_rules(documents, host, **limits).where("kept").select(F.col("doc_id").alias("id"), F.col("rid").alias("key"), "removed").dropDuplicates(["id", "key"])
+    both = rows.join(verdict, (F.col("rid") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
 
     def run(batches):
         only("rules")
         for b in small_batches(batches):
-            texts, keys = b.column(at).to_pylist(), b.column(gone).to_pylist()
+            texts, keys = b.column(1).to_pylist(), b.column(2).to_pylist()
             clean = [without_lines(t, set(k)) if k and t else t for t, k in zip(texts, keys)]
-            yield pa.RecordBatch.from_arrays([pa.array(clean, b.column(at).type) if i == at else b.column(i) for i in range(gone)], names=b.schema.names[:gone])
-
-    out = rows.select(*documents.columns, "removed").mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string())], names=["row", "text"])
+
+    schema = documents.schema
+    out = both.select("row", "text", "removed").mapInArrow(run, StructType([StructField("row", schema), StructField("text", StringType())]))
+    made = {"text": F.col("text").cast(schema["text"].dataType)}
+    if "n_chars" in documents.columns:
+        made["n_chars"] = F.length("text").cast(schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
