@@ -219,8 +219,12 @@ def projection(words: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarr
     df, tf, passages = frequencies(words)
     idf = np.log((passages + 1) / (df + 1)) + 0.1
     share = min(1.0, FIT_DOCUMENTS / max(1, words.count()))
-    fitted = words.where(F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else words
-    u, s = singular_vectors(gram_sketch(fitted, idf, rank), rank)
+    # of 2 ** 64 hashes the least ones, so that a share of any size takes its rows
+    fitted = words.where(F.xxhash64("rid") < F.lit(int(share * 2.0**64) - 2**63)) if share < 1 else words
+    sketch = gram_sketch(fitted, idf, rank)
+    if passages and not sketch.any():
+        raise ValueError("the latent index has no passage to be fitted on")
+    u, s = singular_vectors(sketch, rank)
     out = idf[:, None] * u / np.sqrt(np.maximum(s, s.max(initial=1e-9) * 1e-6))
     centre = (tf[:, None] * out).sum(axis=0) / max(1.0, tf.sum())
     return (out - centre).astype(np.float32), idf
@@ -488,8 +492,23 @@ def leaks(documents: DataFrame, benchmark: DataFrame, near: float = NEAR) -> Dat
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, near: float = NEAR) -> DataFrame:
-    """The rows of ``documents`` with n_items, item_ids, lcs_share and kept (false if they hold an item)."""
-    by = leaks(documents, benchmark, near).groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("lcs_share").alias("lcs_share"))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = documents.withColumn("_rid", key).join(by.withColumnRenamed("rid", "_rid"), "_rid", "left").drop("_rid")
-    return out.withColumn("n_items", F.coalesce(F.size("item_ids"), F.lit(0)).cast("long")).withColumn("kept", F.col("item_ids").isNull())
+    """The rows of ``documents`` with n_items, item_ids, lcs_share and kept (false if they hold an item).
+
+    A column of the caller's that has one of these four names is given up for it; ``clean`` keeps all columns.
+    """
+    found, added = _judged(documents, benchmark, near), ("item_ids", "lcs_share", "n_items", "kept")
+    return found.select(*[F.col("row")[c].alias(c) for c in documents.columns if c not in added], *added)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, near: float = NEAR) -> DataFrame:
+    """The rows of ``documents`` that hold no item, in their own columns."""
+    return _judged(documents, benchmark, near).where("kept").select(*[F.col("row")[c].alias(c) for c in documents.columns])
+
+
+def _judged(documents: DataFrame, benchmark: DataFrame, near: float) -> DataFrame:
+    """row (the caller's columns), item_ids, lcs_share, n_items, kept; a row is known by its id and the hash of its text."""
+    by = leaks(documents, benchmark, near).groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("lcs_share").alias("lcs_share"))
+    id_ = F.col("doc_id").cast("long")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), id_.alias("id"), F.xxhash64(id_, F.col("text").cast("string")).alias("key"))
+    out = rows.join(by, (F.col("key") == F.col("rid")) & F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    return out.select("row", "item_ids", "lcs_share", F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.col("item_ids").isNull().alias("kept"))
