@@ -235,7 +235,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, rows
     key = ["class_a", "class_b"]
     classes = each.where("class_a is not null").groupBy(*key).agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     # two classes with the same smallest doc_id (rows that repeat an id) stay apart by their digest
-    classes = settle(classes.withColumn("cid", F.xxhash64(*key)), "classes")
+    classes = settle(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     member = classes.select("cid", "node", F.explode("bands").alias("bucket"))
     order = F.struct("node", "cid")
@@ -247,7 +247,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, rows
 
     touched = star.select(F.col("u").alias("cid")).unionByName(star.select(F.col("v").alias("cid"))).distinct()
     chosen = classes.select("cid", "node", *key).join(touched, "cid", "left_semi")
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text").join(chosen.select("cid", "node"), "node")
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("node"), "text").join(chosen.select("cid", "node", *key), "node")
     # a repeated id can bring in a text of another class; the digest of the set tells them apart
     sets = settle(_class_sets(texts, size), "shingles")
     links = settle(_verify(best, sets, percent), "links")
@@ -276,9 +276,16 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, rows
 
 
 def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` of which one per component stays; a row that repeats another exactly goes too."""
-    kept = near_duplicates(documents, size, percent).where("kept").select("rid").distinct()
-    return documents.withColumn("rid", row_key()).join(kept, "rid", "left_semi").dropDuplicates(["rid"]).drop("rid")
+    """The rows of ``documents`` of which one per component stays; a row that repeats another's id and text goes too.
+
+    The caller's columns travel in one struct, whatever they are called; of rows
+    that differ in these only, one stays. A row is known by its id and its text's
+    hash, so that no two ids are taken for one.
+    """
+    kept = near_duplicates(documents, size, percent).where("kept").select(F.col("doc_id").alias("id"), F.col("rid").alias("key")).distinct()
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), row_key())
+    left = rows.join(kept, (F.col("rid") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id", "rid"])
+    return left.select(*[F.col("row")[c].alias(c) for c in documents.columns])
 
 
 def _class_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -297,7 +304,7 @@ def _class_sets(texts: DataFrame, size: int) -> DataFrame:
                 da.append(int.from_bytes(d[:8], "little", signed=True))
                 db.append(int.from_bytes(d[8:], "little", signed=True))
                 sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(da, pa.int64()), pa.array(db, pa.int64()), pa.array(sets, pa.binary())], names=["node", "da", "db", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("class_a"), batch.column("class_b"), pa.array(da, pa.int64()), pa.array(db, pa.int64()), pa.array(sets, pa.binary())], names=["node", "class_a", "class_b", "da", "db", "shingles"])
 
-    made = texts.select("cid", "text").mapInArrow(run, "node long, da long, db long, shingles binary")
-    return made.where(F.xxhash64("da", "db") == F.col("node")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    made = texts.select("cid", "text", "class_a", "class_b").mapInArrow(run, "node long, class_a long, class_b long, da long, db long, shingles binary")
+    return made.where("da = class_a and db = class_b").groupBy("node").agg(F.first("shingles").alias("shingles"))
