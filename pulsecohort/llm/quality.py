@@ -34,6 +34,7 @@ SITE_WEIGHT = 0.5
 THRESHOLD = 0.5
 
 _marks = re.compile(r"[#*$%&|<>!{}~^=\\]").findall
+_not_letters = re.compile(r"[\W\d_]").findall
 FEATURES = 10
 
 
@@ -44,7 +45,7 @@ def features(text: str) -> list[float]:
     if not n:
         return [0.0] * FEATURES
     lines = [x for x in text.split("\n") if x.strip()]
-    letters = sum(map(str.isalpha, text)) if len(text) < 4096 else len(text) - len(re.findall(r"[\W\d_]", text))
+    letters = len(text) - len(_not_letters(text))
     upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     same = sum(a == b for a, b in zip(words, words[1:]))
     distinct = len(set(words))
