@@ -3,14 +3,19 @@
 Learning. At most ``FIT_ROWS`` labelled rows are learned from. Each gives the set of its words and of their prefixes;
 documents with and without the label are counted for each. A word's rate has
 its prefix's rate as Dirichlet prior, a prefix the shorter prefix's, that one
-the base rate; a rate against the base rate is a log-odds score. Only features
-with evidence for the label, and the words that override a prefix, are kept:
-at most ``LEXICON`` of them, the one part of the model that is sent to workers.
+the base rate; a rate against the base rate is a log-odds score, below zero
+where a word speaks against the label. A word that was not learned has its
+longest learned prefix's score. A feature is learned if enough documents hold
+it: ``LEAST_DOCUMENTS``, or the number of all (feature, document) pairs over
+``LEXICON`` if that is more. So no more than ``LEXICON`` features can be, and
+the lexicon, the one part of the model that is sent to workers, has that bound.
 
 Scoring. A text is scanned once; each token adds its score less ``DRIFT``, so
-ordinary text drifts down. Ruzzo and Tompa's linear scan yields all maximal
-segments. Scores of unlabelled tokens give Karlin and Altschul's lambda, so a
-segment of score S in a text of n tokens has expectation K n exp(-lambda S).
+ordinary text drifts down. Ruzzo and Tompa's scan yields all maximal segments
+in linear time. Extreme values are calibrated on the learning rows without the
+label: Karlin and Altschul's lambda from their token scores, K as the most
+likely value given the best segment of each. A segment of score S in a text of
+n tokens has expectation K n exp(-lambda S).
 Segments expected less than ``ALPHA`` times are significant; a document's
 evidence is the log expectation of all its significant segments, or of its best
 one. A logistic curve through binned counts of the learning rows makes it a
@@ -39,12 +44,11 @@ from .common import settle, texts_of, train_fold
 
 #: Labelled rows that are learned from at most: those with the least hashes of their ids.
 FIT_ROWS = 50_000
-LEXICON = 50_000
+LEXICON = 400_000
 PREFIXES = (5, 4)
 PRIOR = 10.0
-LEAST_DOCUMENTS, LEAST_SCORE = 3, 1.0
+LEAST_DOCUMENTS = 3
 DRIFT = 0.7
-KARLIN_K = 0.1
 ALPHA = 0.01
 BIN = 0.25
 
@@ -65,6 +69,7 @@ class Model:
     base: float = 0.1
     scores: dict[str, float] = field(default_factory=dict)
     decay: float = 1.0
+    k: float = 0.1
     slope: float = 1.0
     offset: float = 0.0
 
@@ -80,44 +85,55 @@ class Model:
 
 
 def maximal_segments(values: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score) of a text whose tokens score -drift but for (position, value)."""
-    # each held segment: first, last, sum before it, sum up to its end
-    held: list[tuple[int, int, float, float]] = []
+    """All maximal scoring segments (first, last, score) of a text whose tokens score -drift but for (position, value).
+
+    Each held segment is linked to the nearest one before it that begins lower:
+    the search goes by these links, which makes the scan linear.
+    """
+    # each held segment: first, last, sum before it, sum up to its end, link
+    held: list[tuple[int, int, float, float, int]] = []
     total, at = 0.0, 0
     for pos, value in values:
         total -= drift * (pos - at)
         at = pos + 1
+        low, total = total, total + value - drift
         if value <= drift:
-            total += value - drift
             continue
-        low, total = total, total + value - drift
-        new = (pos, pos, low, total)
+        first, high = pos, total
+        j = len(held) - 1
         while True:
-            j = next((i for i in range(len(held) - 1, -1, -1) if held[i][2] < new[2]), -1)
-            if j < 0 or held[j][3] >= new[3]:
-                held.append(new)
+            while j >= 0 and held[j][2] >= low:
+                j = held[j][4]
+            if j < 0 or held[j][3] >= high:
+                held.append((first, pos, low, high, j))
                 break
-            new = (held[j][0], new[1], held[j][2], new[3])
+            first, low, link = held[j][0], held[j][2], held[j][4]
             del held[j:]
-    return [(a, b, high - low) for a, b, low, high in held]
+            j = link
+    return [(a, b, high - low) for a, b, low, high, _ in held]
+
+
+def _values(model: Model, words: list[str]) -> list[tuple[int, float]]:
+    """Positions and scores of the words that have one."""
+    scores = {w: s for w in set(words) if (s := model.score(w))}
+    return [(i, scores[w]) for i, w in enumerate(words) if w in scores] if scores else []
+
+
+def best_segment(model: Model, text: str) -> tuple[int, float]:
+    """Tokens of a text, and the score of its best segment (0 without one)."""
+    words = tokens(text)
+    return len(words), max((s for *_, s in maximal_segments(_values(model, words), DRIFT)), default=0.0)
 
 
 def evidence(model: Model, text: str) -> tuple[float, int, list[tuple[int, int, float]]]:
     """Evidence, token count and the significant segments (first token, last token, score) of a text."""
     words = tokens(text)
-    cache: dict[str, float] = {}
-    values = []
-    for w in set(words):
-        s = model.score(w)
-        if s:
-            cache[w] = s
-    if cache:
-        values = [(i, cache[w]) for i, w in enumerate(words) if w in cache]
+    values = _values(model, words)
     n = max(1, len(words))
-    best, total, passages = -math.log(KARLIN_K * n + 1), 0.0, []
-    edge = math.log(KARLIN_K * n / ALPHA)
+    best, total, passages = -math.log(model.k * n + 1), 0.0, []
+    edge = math.log(model.k * n / ALPHA)
     for a, b, s in maximal_segments(values, DRIFT):
-        e = model.decay * s - math.log(KARLIN_K * n)
+        e = model.decay * s - math.log(model.k * n)
         best = max(best, e)
         if model.decay * s > edge:
             passages.append((a, b, s))
@@ -148,21 +164,11 @@ def _counts(rows):
 
 
 def _lexicon(counts: DataFrame, base: float) -> dict[str, float]:
-    """Scores of the features that are kept, at most ``LEXICON``: collected by that bound."""
+    """Scores of the features that enough documents hold, ``LEXICON`` of them at most: collected by that bound."""
     odds = lambda r: math.log(r / (1 - r)) - math.log(base / (1 - base))
-    rough = F.log((F.col("hit") + PRIOR * base) / (F.col("miss") + PRIOR * (1 - base))) - math.log(base / (1 - base))
-    strong = counts.where((F.col("hit") >= LEAST_DOCUMENTS) & (rough >= LEAST_SCORE)).orderBy(F.desc(rough * F.col("hit")), "feature").limit(LEXICON // 2)
-    rows = {r["feature"]: (r["hit"], r["miss"]) for r in strong.collect()}
-    stems = [k for k in rows if k.endswith("*")]
-    if stems:
-        spark = counts.sparkSession
-        flagged = spark.createDataFrame([(k,) for k in stems], "stem string")
-        under = None
-        for k in PREFIXES:
-            some = counts.where(~F.col("feature").endswith("*")).withColumn("stem", F.concat(F.substring("feature", 1, k), F.lit("*"))).join(F.broadcast(flagged), "stem", "left_semi")
-            under = some if under is None else under.unionByName(some)
-        for r in under.where("hit + miss >= 20").orderBy(F.desc(F.col("hit") + F.col("miss")), "feature").limit(LEXICON // 2).collect():
-            rows[r["feature"]] = (r["hit"], r["miss"])
+    held = F.col("hit") + F.col("miss")
+    pairs = counts.agg(F.coalesce(F.sum(held), F.lit(0)).alias("n")).first()["n"]
+    rows = {r["feature"]: (r["hit"], r["miss"]) for r in counts.where(held >= max(LEAST_DOCUMENTS, -(-pairs // LEXICON))).toLocalIterator()}
     rates: dict[str, float] = {}
 
     def rate(key: str) -> float:
@@ -176,7 +182,7 @@ def _lexicon(counts: DataFrame, base: float) -> dict[str, float]:
             rates[key] = (hit + PRIOR * prior) / (hit + miss + PRIOR)
         return rates[key]
 
-    return {k: max(0.0, odds(rate(k))) for k in rows}
+    return {k: odds(rate(k)) for k in rows}
 
 
 def _decay(hist: dict[float, int]) -> float:
@@ -184,11 +190,11 @@ def _decay(hist: dict[float, int]) -> float:
     total = sum(hist.values()) + 1
     steps = {s - DRIFT: n / total for s, n in hist.items()}
     if not any(s > 0 for s in steps):
-        return 3.0
+        return 1.0
     f = lambda x: sum(p * math.exp(min(700.0, x * s)) for s, p in steps.items()) - 1
-    low, high = 1e-3, 3.0
-    if f(high) < 0:
-        return high
+    low, high = 1e-3, 1.0
+    while f(high) < 0:
+        low, high = high, 2 * high
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if f(mid) < 0 else (low, mid)
@@ -237,9 +243,24 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Mode
                 hist[0.0] += len(words) - len(found)
         yield pa.RecordBatch.from_arrays([pa.array(list(hist), pa.float64()), pa.array(list(hist.values()), pa.int64())], names=["s", "n"])
 
+    # token scores by bins of at most BIN and at most some thousand values, whatever the rows
     hist = {r["s"]: r["n"] for r in rows.where("label = 0").select("text").mapInArrow(background, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()}
     model.decay = _decay(hist)
 
+    def tops(batches):
+        """Texts whose best segment is above 0, and the sum of n exp(-lambda S) over all."""
+        hits, weight = 0, 0.0
+        for b in batches:
+            for t in texts_of(b.column(0)):
+                n, top = best_segment(model, t)
+                hits += top > 0
+                weight += max(1, n) * math.exp(-model.decay * top)
+        yield pa.RecordBatch.from_arrays([pa.array([hits], pa.int64()), pa.array([weight], pa.float64())], names=["hits", "weight"])
+
+    # the most likely K, from d/dK of the sum of log K - K n exp(-lambda S), a text without a segment giving the last term only
+    seen = rows.where("label = 0").select("text").mapInArrow(tops, "hits long, weight double").agg(F.sum("hits").alias("hits"), F.sum("weight").alias("weight")).first()
+    model.k = max(1e-6, (seen["hits"] + 0.5) / (seen["weight"] + 1))
+
     def place(batches):
         found = Counter()
         for b in batches:
