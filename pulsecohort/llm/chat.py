@@ -52,32 +52,60 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         "conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t")
     )
     gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # a block is (role, texts); merging goes over the sorted turns from the left
-    nothing = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    # a block is (role, texts): the turns from one change of role to the next
+    changes = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))
 
-    def take(blocks: Column, t: Column) -> Column:
-        last = F.try_element_at(blocks, F.lit(-1))
-        grown = F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))))
-        begun = F.concat(blocks, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
-        return F.when((F.size(blocks) > 0) & (last["role"] == t["role"]), grown).otherwise(begun)
+    def blocks(t: Column) -> Column:
+        def block(starts: Column) -> Column:
+            def one(start: Column, k: Column) -> Column:
+                stop = F.coalesce(F.get(starts, k + 1), F.size(t))
+                return F.struct(F.get(t, start)["role"].alias("role"), F.transform(F.slice(t, start + 1, stop - start), lambda x: x["text"]).alias("texts"))
 
-    merged = gathered.select("conv_id", F.aggregate("turns", nothing, take).alias("blocks"))
+            return F.transform(starts, one)
+
+        return let(changes(t), block)
+
+    merged = gathered.select("conv_id", let(F.col("turns"), blocks).alias("blocks"))
     # pieces: the header of a block (learned false), then each of its texts and closing marks
     pieces = F.flatten(F.transform("blocks", lambda b: F.concat(
         F.array(F.struct(F.concat(F.lit(HEAD), _escape_role(b["role"]), F.lit("\n")).alias("s"), F.lit(False).alias("learn"))),
         F.flatten(F.transform(b["texts"], lambda x: F.array(F.struct(escape(x).alias("s"), (b["role"] == LEARNED_ROLE).alias("learn")), F.struct(F.lit(CLOSE).alias("s"), F.lit(False).alias("learn"))))),
     )))
     laid = merged.select("conv_id", pieces.alias("pieces"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    sizes = lambda p: F.transform(p, lambda x: F.length(x["s"]))
+    spans = let(F.col("pieces"), lambda p: let(sizes(p), lambda n: F.filter(F.zip_with(p, before(n), lambda x, at: F.struct(at.alias("start"), F.when(x["learn"], F.length(x["s"])).alias("length"))), lambda x: x["length"].isNotNull())))
+    return laid.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
-    def place(acc: Column, p: Column) -> Column:
-        size = F.length(p["s"])
-        spans = F.when(p["learn"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), size.alias("length"))))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + size).alias("at"), spans.alias("spans"))
 
-    return laid.select(
-        "conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), F.aggregate("pieces", start, place)["spans"].alias("loss_spans")
-    )
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def before(sizes: Column) -> Column:
+    """For each size the sum of those before it, by sums of stretches of about the square root of their number, so that no long array is copied."""
+    add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def by_stretch(n: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(n))).cast("int"))
+
+        def with_step(w: Column) -> Column:
+            count = F.ceil(F.size(n) / w).cast("int")
+            stretches = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: add(F.slice(n, k * w + 1, w)))
+
+            def sums(t: Column) -> Column:
+                starts = F.transform(t, lambda _, k: add(F.slice(t, F.lit(1), k)))
+
+                def at(s: Column) -> Column:
+                    return F.transform(n, lambda _, i: F.get(s, F.floor(i / w).cast("int")) + add(F.slice(n, F.floor(i / w).cast("int") * w + 1, i % w)))
+
+                return let(starts, at)
+
+            return let(stretches, sums)
+
+        return let(step, with_step)
+
+    return let(sizes, by_stretch)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -90,5 +118,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
         texts = F.split(body, CLOSE, -1)
         return F.transform(F.slice(texts, F.lit(1), F.size(texts) - 1), lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
 
-    learned = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    # four bytes a character, so that a span is found without counting characters from the start; a header stands before every span,
+    # and the character before it is taken along, as a byte order mark at the start of what is decoded would go
+    wide = F.encode(F.col("formatted"), "UTF-32")
+    span = lambda w, s: F.substr(F.decode(F.substr(w, 4 * s["start"] - 3, 4 * s["length"] + 4), "UTF-32"), F.lit(2))
+    learned = let(wide, lambda w: F.array_join(F.transform("loss_spans", lambda s: unescape(span(w, s))), ""))
     return formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns_of)).alias("turns"), learned.alias("loss_text"))
