@@ -1,4 +1,5 @@
 import struct
+import time
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -273,15 +274,44 @@ def test_contents_of_one_page_all_count(spark):
     assert all(len(t.split()) == 10000 for t in got.values())
 
 
+def all_maximal(values, a, b):
+    """The best run of values[a:b], and those of what lies on both sides of it."""
+    best = max(((values[i:j].sum(), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, a, a))
+    if best[0] <= 0:
+        return []
+    return [*all_maximal(values, a, best[2]), (best[2], best[3] - 1), *all_maximal(values, best[3], b)]
+
+
 def test_maximal_segments():
     g = np.random.default_rng(8)
-    for _ in range(200):
-        x = np.where(g.random(30) < 0.3, g.random(30) * 4, 0)
+    for _ in range(120):
+        x = np.where(g.random(30) < 0.5, g.normal(0.6, 1.5, 30), 0)
         s = x - 0.7
-        best = max((s[a : b + 1].sum(), 0) for a in range(30) for b in range(a, 30))[0]
         found = toxicity.maximal_segments([(i, float(v)) for i, v in enumerate(x) if v], 0.7)
-        assert abs(max([v for *_, v in found], default=0) - max(best, 0)) < 1e-9 or best <= 0
+        assert [(a, b) for a, b, _ in found] == all_maximal(s, 0, 30)
         assert all(abs(s[a : b + 1].sum() - v) < 1e-9 for a, b, v in found)
+    began = time.process_time()
+    # hits far apart, each a segment of its own that begins lower than all before it; and rising ones
+    assert len(toxicity.maximal_segments([(10 * i, 1.0) for i in range(200_000)], 0.7)) == 200_000
+    assert len(toxicity.maximal_segments([(2 * i, 1.5 - 1e-6 * i) for i in range(50_000)], 0.7)) > 0
+    assert time.process_time() - began < 20
+
+
+def test_evidence_against_the_label_counts(spark):
+    rows = [(3 * i, "fine calm words here" if i % 2 else "awful nasty words here") for i in range(200)]
+    labels = spark.createDataFrame([(d, int("nasty" in t), 0) for d, t in rows], "doc_id long, toxic int, quality int")
+    model = toxicity.learn(docs(spark, rows), labels)
+    assert model.scores["calm"] < 0 < model.scores["nasty"] and model.k != toxicity.Model().k
+    score = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs(spark, [(1, "nasty"), (2, "nasty calm calm"), (3, "")]), model).collect()}
+    assert score[1] > score[3]
+    assert toxicity.score_documents(docs(spark, []), model).count() == 0
+
+
+def test_quality_features_do_not_change_with_length():
+    text = "½²Ⅷ words "
+    assert abs(quality.features(text * 409)[9] - quality.features(text * 411)[9]) < 0.01
+    # a letter is a word character but digits and the underscore
+    assert quality.features("a1½" * 10)[9] == 4 / 3
 
 
 def test_toxicity_held_out(spark):
@@ -349,6 +379,16 @@ def test_recall_against_the_verdict_on_every_place(spark):
     assert len(wanted) > 300 and wanted <= found
 
 
+def test_a_small_share_still_fits_the_index(spark, monkeypatch):
+    d, b = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    want = {r["doc_id"] for r in decontam.leaks(d, b).collect()}
+    monkeypatch.setattr(decontam, "FIT_DOCUMENTS", 20)
+    assert {r["doc_id"] for r in decontam.leaks(d, b).collect()} == want
+    monkeypatch.setattr(decontam, "FIT_DOCUMENTS", 0)
+    with pytest.raises(ValueError, match="no passage"):
+        decontam.leaks(d, b)
+
+
 def test_a_passage_of_a_long_item_is_a_leak(spark):
     words = [f"q{i}x" for i in range(200)]
     host = " ".join(f"h{i}" for i in range(300))
@@ -368,6 +408,45 @@ def test_common_subsequence():
         assert decontam.common_subsequence(a, b) == table[15, 25]
 
 
+CLASH = "rid removed item_ids lcs_share kept n_items host words row id key doc_key cid node".split()
+
+
+def stage_results(spark, table):
+    """Each stage on the same rows, with columns of the caller's that have the operators' own names."""
+    plain = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    crowded = plain.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASH])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        yield name, plain.columns, stage(spark, plain, FOLDER), stage(spark, crowded, FOLDER)
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_with_clashing_columns(spark, rows):
+    table = [(d, t, None, None, None) for d, t in rows] + [(100 + i, f"{LONG} own{i} text{i}", "en", "s", 7) for i in range(3 if rows else 0)]
+    for name, columns, a, b in stage_results(spark, table):
+        got = b.collect()
+        assert Counter(map(tuple, a.collect())) == Counter(tuple(r[c] for c in columns) for r in got), name
+        if name != "repeated substrings":
+            assert b.columns == [*columns, *CLASH]
+            assert all(r[c] == f"{c} {'-' if r['doc_id'] is None else r['doc_id']}" for r in got for c in CLASH), name
+        assert rows or not got
+
+
+def test_rules_leave_lines_without_words(spark):
+    blank = "\u00a0\u2003"
+    body = lambda i: " ".join(f"t{i}_{j}" for j in range(60))
+    assert rules.without_lines(f"{blank}\nx", {rules.line_key(blank.encode())}) == "x"
+    out = rules.apply_quality_rules(docs(spark, [(i, f"{blank}\n{body(i)}\n \t") for i in range(30)])).collect()
+    assert sorted(r["text"] for r in out) == sorted([f"{blank}\n{body(0)}\n \t", *(f"{body(i)}\n \t" for i in range(1, 30))])
+
+
+def test_long_conversations_and_an_empty_table(spark):
+    rows = [(1, i, "user" if i % 3 == 0 else "assistant", f"\ufeffé<{i}#") for i in range(5000)]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash")).withColumn("formatted", F.lit(1))
+    back = chat.read_back(chat.format_conversations(given)).collect()[0]
+    assert [tuple(t) for t in back["turns"]] == [r[2:] for r in rows] and back["loss_text"] == "".join(r[3] for r in rows if r[2] == "assistant")
+    assert chat.read_back(chat.format_conversations(given.limit(0))).count() == 0
+
+
 def test_pipeline_by_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "source", "text").collect()]
     kept = [(d, t) for (d, _, _), (ok, t) in zip(rows, brute_rules(rows)) if ok]
