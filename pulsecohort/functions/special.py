@@ -42,17 +42,25 @@ def mann_whitney_normal(u: Column, n1: Column, n2: Column, ties: Column) -> Colu
     return F.when((n1 > 0) & (n2 > 0), F.when(var > 0, F.least(F.lit(1.0), 2 * normal_tail(z))).otherwise(F.lit(1.0)))
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=64)
 def _arrangements(n1: int, n2: int) -> np.ndarray:
-    """How many arrangements of two samples without ties have each U: counts of partitions into at most n1 parts of at most n2."""
-    counts = np.zeros(n1 * n2 + 1)
+    """How many arrangements of two samples without ties have each U, n1 being the smaller: partitions into at most n1 parts of at most n2.
+
+    The generating function is a product of (1 - x^(n2 + k)) / (1 - x^k): a difference at a distance and a running sum for each k.
+    Whole numbers keep it exact up to 2^63 arrangements; above, the running sums go over doubles.
+    """
+    exact = math.comb(n1 + n2, n1) < 1 << 62
+    counts = np.zeros(n1 * n2 + 1, np.int64 if exact else np.float64)
     counts[0] = 1
     for k in range(1, n1 + 1):
         up = n2 + k
-        for i in range(n1 * n2, up - 1, -1):
-            counts[i] -= counts[i - up]
-        for i in range(k, n1 * n2 + 1):
-            counts[i] += counts[i - k]
+        if up < len(counts):
+            counts[up:] -= counts[:-up].copy()
+        for r in range(k):
+            counts[r::k] = np.cumsum(counts[r::k])
+    # the two halves mirror each other; in doubles the upper one has lost its small counts
+    half = len(counts) // 2
+    counts[len(counts) - half :] = counts[:half][::-1]
     return counts
 
 
@@ -69,7 +77,7 @@ def exact_mann_whitney(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
 
 def mann_whitney(u: Column, n1: Column, n2: Column, ties: Column) -> Column:
     """Exact for a group of eight or fewer without ties, else the normal approximation."""
-    small = (F.least(n1, n2) <= 8) & (n1 * n2 <= 20_000) & (ties == 0)
+    small = (F.least(n1, n2) <= 8) & (ties == 0)
     exact = exact_mann_whitney(F.when(small, u), F.when(small, n1), F.when(small, n2))
     return F.when(small, exact).otherwise(mann_whitney_normal(u, n1, n2, ties))
 

@@ -98,6 +98,13 @@ def gradient(v: Column, step: Column) -> Column:
     return let(v, slopes)
 
 
+def oriented(rows: Column, beats: Column) -> Column:
+    """A matrix as rows of samples by beats: turned if its rows and not its columns number the beats, else as it is."""
+    width = F.size(F.get(rows, F.lit(0)))
+    turned = F.transform(F.sequence(F.lit(0), width - 1), lambda c: F.transform(rows, lambda r: F.get(r, c)))
+    return F.when((F.size(rows) == beats) & (width != beats), turned).otherwise(rows)
+
+
 def window(v: Column, start: float, stop: float) -> Column:
     """Samples of [floor(start n), ceil(stop n)), one at least."""
     n = F.size(v)

@@ -159,7 +159,7 @@ def whittaker(df: DataFrame, v: str) -> DataFrame:
 
 
 def denoise(waveforms: DataFrame) -> DataFrame:
-    """Despiked, smoothed and area-preserving waveform with status and diagnostics.
+    """Despiked, smoothed and area-preserving waveform, last of all kept within the input's range, with status and diagnostics.
 
     status_code: 0 filtered, 1 no sample, 2 too few samples, 3 too small a share of them; only 0 has a waveform.
     """
@@ -168,7 +168,7 @@ def denoise(waveforms: DataFrame) -> DataFrame:
     status = F.when(k == 0, 1).when(k < LEAST_SAMPLES, 2).when(F.col("finite_fraction") < LEAST_SHARE, 3).otherwise(0)
     v = v.withColumn("status_code", status).withColumn("original", F.col("v")).withColumn("v", gap_fill(F.col("v")))
     d = whittaker(despike(v, "v"), "v")
-    d = d.withColumn("v", preserve_area(clip_to_input(F.col("v"), F.col("original")), gap_fill(F.col("original"))))
+    d = d.withColumn("v", clip_to_input(preserve_area(F.col("v"), gap_fill(F.col("original"))), F.col("original")))
     d = d.withColumn("v", F.when(F.col("status_code") == 0, F.zip_with("v", "original", lambda a, b: F.when(b.isNotNull(), a))))
     return d.withColumn("original_vs_filtered_corr", F.when(F.col("status_code") == 0, correlation(F.col("original"), F.col("v")))).drop("original")
 

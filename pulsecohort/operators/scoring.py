@@ -112,6 +112,12 @@ def ordered_usefulness(useful: DataFrame, split: DataFrame) -> DataFrame:
     return out.orderBy(F.col("cohort") != "ALL", "cohort", "vessel", "representation", F.desc("active_fraction"), F.desc("sum_was_c_points"), F.desc(F.coalesce("youden", F.lit(0.0))))
 
 
+def with_split(rows: DataFrame, split: DataFrame) -> DataFrame:
+    """Contributions with their metric's split beside them; a panel is some ten rows."""
+    keys = ["vessel", "representation", "metric"]
+    return rows.join(F.broadcast(split.select(*keys, "youden", "sensitivity", "specificity", "separability_auc")), keys, "left")
+
+
 def histogram(scored: DataFrame) -> DataFrame:
     """WAS-c in ten bins of width one by cohort; the last is closed above."""
     return scored.groupBy("cohort", F.least(F.floor("was_c"), F.lit(9)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -164,6 +164,65 @@ def harmonic_diagnostics(waveforms: DataFrame, highest: int = HIGHEST) -> DataFr
     return rows.withColumn("phase_lag", turned).drop("c")
 
 
+ENERGY = ["E_total", "E_low", "E_low_over_E_total"]
+ROLLOFF = ["m_50", "m_80", "rho_h", "w_h", "N_h_over_H"]
+PHASE = ["D_phi", "t_phi_over_T", "s_phi_over_T"]
+#: Share of the higher harmonics' power from which a harmonic's phase counts.
+PHASE_SHARE = 0.02
+
+
+def harmonic_summary(waveforms: DataFrame, highest: int = HIGHEST) -> DataFrame:
+    """Per waveform the energy of its harmonics, the rolloff and support of the higher ones, and how their phases are organised.
+
+    m_q is where the cumulative share of the energy of harmonics 2 .. H passes
+    q; N_h is the exponential of its entropy. A phase lag is what a harmonic's
+    phase differs from h times the fundamental's, wrapped; only harmonics with
+    ``PHASE_SHARE`` of the higher power count. Null where there are no higher
+    harmonics or no power in them.
+    """
+    keys = [c for c in KEYS if c in waveforms.columns]
+    c = prepared(waveforms).where("ok").withColumn("c", wave.spectrum(F.col("z"), highest)).where("c is not null").select(*keys, "c")
+    c = c.withColumn("p", F.transform("c", wave.power)).withColumn("first", F.get("c", F.lit(1)))
+    c = c.withColumn("E_total", wave.total(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))))).withColumn("E_low", wave.total(F.slice("p", F.lit(2), F.least(F.size("p") - 1, F.lit(LOW_HIGHEST)))))
+    c = c.withColumn("E_low_over_E_total", F.try_divide("E_low", F.nullif("E_total", F.lit(0.0))))
+    count = F.greatest(F.size("p") - 2, F.lit(0))
+    c = c.withColumn("high", F.slice("p", F.lit(3), count)).withColumn("power", wave.total(F.col("high")))
+    c = c.withColumn("share", F.when(F.col("power") > 0, F.transform("high", lambda x: x / F.col("power")))).withColumn("A", wave.cumulative(F.col("share")))
+
+    def passes(q: float) -> Column:
+        j = F.size(F.filter("A", lambda x: x <= q)) - 1
+        low, up = wave.at(F.col("A"), j), wave.at(F.col("A"), j + 1)
+        return F.when(F.col("share").isNotNull(), j + F.try_divide(q - low, up - low))
+
+    higher = F.size("share").cast("double")
+    c = c.withColumn("m_50", passes(0.5)).withColumn("m_80", passes(0.8)).withColumn("rho_h", F.col("m_80") / higher).withColumn("w_h", (F.col("m_80") - F.col("m_50")) / higher)
+    entropy = wave.total_of(F.col("share"), lambda a: F.when(a > 0, -a * F.log(a)).otherwise(0.0))
+    c = c.withColumn("N_h_over_H", F.when(F.col("share").isNotNull(), F.exp(entropy) / higher))
+
+    def lag(x: Column, k: Column) -> Column:
+        h = (k + 2).cast("double")
+        turned = F.atan2(x["im"], x["re"]) - h * F.atan2(F.col("first.im"), F.col("first.re"))
+        wrapped = F.pmod(turned + math.pi, F.lit(2 * math.pi)) - math.pi
+        return F.struct(h.alias("h"), wrapped.alias("lag"), wave.power(x).alias("w"))
+
+    lags = F.filter(F.transform(F.slice("c", F.lit(3), count), lag), lambda s: (s["w"] >= PHASE_SHARE * F.col("power")) & (s["w"] > 0))
+    usable = (F.sqrt(wave.power(F.col("first"))) > EPS) & (F.col("power") > 0)
+    c = c.withColumn("lags", F.when(usable, lags))
+    turn = lambda f: wave.total(F.transform("lags", lambda s: s["w"] * f(s["lag"])))
+    weight = wave.total(F.transform("lags", lambda s: s["w"]))
+    c = c.withColumn("D_phi", F.when(F.size("lags") > 0, 1 - F.sqrt(F.pow(turn(F.cos) / weight, 2) + F.pow(turn(F.sin) / weight, 2))))
+    c = c.withColumn("delays", F.transform("lags", lambda s: s["lag"] / (2 * math.pi * s["h"]))).withColumn("t_phi_over_T", wave.median(F.col("delays")))
+    c = c.withColumn("s_phi_over_T", wave.median(F.transform("delays", lambda x: F.abs(x - F.col("t_phi_over_T")))))
+    return c.select(*keys, *ENERGY, *ROLLOFF, *PHASE)
+
+
+def bandlimited(waveforms: DataFrame, highest: int = HIGHEST) -> DataFrame:
+    """Per sample the rectified waveform beside what its harmonics up to ``highest`` make of it."""
+    keys = [c for c in KEYS if c in waveforms.columns]
+    base = prepared(waveforms).where("ok").withColumn("vb", wave.reconstruct(wave.spectrum(F.col("z"), highest), F.size("z")))
+    return base.select(*keys, F.posexplode_outer(F.arrays_zip(F.col("z").alias("signal"), F.col("vb").alias("vb"))).alias("i", "s")).select(*keys, "i", "s.signal", "s.vb")
+
+
 def diagnostics(waveforms: DataFrame) -> DataFrame:
     """Per sample: tau, the rectified signal, cumulative profile, its excess over tau, first and second derivative."""
     keys = [c for c in KEYS if c in waveforms.columns]

@@ -18,9 +18,15 @@ ID = ["acq", "cohort", "beat", "branch", "radius"]
 
 
 def register(name: str, query: Query, oracle: str | None = None) -> None:
-    QUERIES[name] = query
+    """Add a query and its SQL; neither side gives a negative zero."""
+
+    def unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.select(*[(F.col(f"`{c}`") + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+    QUERIES[name] = unsigned
     if oracle is not None:
-        ORACLE[name] = oracle
+        ORACLE[name] = sql.unsigned(oracle)
 
 
 def rounded(df: DataFrame, names: list[str], digits) -> list:
@@ -183,7 +189,7 @@ def _organised(keys: list[str], columns: list[str]):
 
 
 register("hm_coeffs", hm_coeffs, f"{sql.harmonics('embeddings')} select acq, beat, branch, radius, h, round(re, 6) as re, round(im, 6) as im from coeff")
-register("hm_norm", hm_norm, f"{sql.harmonics('embeddings')} select acq, beat, branch, radius, h, round(re, 5) as re, round(im, 5) as im, round(rel_amp, 5) as rel_amp, rel_amp > 0.05 as valid from norm")
+register("hm_norm", hm_norm, f"{sql.harmonics('embeddings')} select acq, beat, branch, radius, h, case when rel_amp > 0.05 then round(re, 5) end as re, case when rel_amp > 0.05 then round(im, 5) end as im, round(rel_amp, 5) as rel_amp, rel_amp > 0.05 as valid from norm")
 register("hm_means", *_organised(harmonic.OVER_BEATS, ["mean_re", "mean_im"]))
 register("hm_coherence", *_organised(harmonic.OVER_BEATS, ["coherence"]))
 register("hm_coherence_locations", *_organised(harmonic.OVER_LOCATIONS, ["coherence"]))
@@ -519,7 +525,6 @@ register("vh_ranking", vh_ranking, f"""{_V} select 'pathology' as cohort, metric
 register("vh_contrast", vh_contrast, f"""{_V} select 'pathology' as cohort, metric, case when group_median >= control_median then 'pathology' else 'control' end as more_variable,
   round(greatest(abs(control_median), abs(group_median)) / (least(abs(control_median), abs(group_median)) + 1e-12), 5) as ratio,
   row_number() over (order by greatest(abs(control_median), abs(group_median)) / least(abs(control_median), abs(group_median)) desc, metric) as rank from medians""")
-register("vh_separation", vh_separation)
 register("vh_separation_pivot", vh_pivot, f"""{_SEP}, est as (select dd.g as metric, n_c::double as n_c, n_g::double as n_g, medc as control_median, medg as group_median, d as cohen_d, greatest(u / n, 1 - u / n) as auc_separability from dd join pairs using (g)),
   long as (select * from est unpivot (v for estimator in (n_c, n_g, control_median, group_median, cohen_d, auc_separability)))
   select 'pathology' as cohort, estimator, round(max(v) filter (metric = 'PI'), 5) as PI, round(max(v) filter (metric = 'RI'), 5) as RI, round(max(v) filter (metric = 'SF_VTI'), 5) as SF_VTI from long group by estimator""")
@@ -757,3 +762,5 @@ register("io_alias_resolution", io_aliases, """with d as (select user_id as acq,
 register("io_missing_paths", io_missing, """select acq, path from (select distinct o_custkey as acq from orders) cross join (values ('1-URGENT'), ('2-HIGH')) as v(path)
   where not exists (select 1 from orders where o_custkey = acq and o_orderpriority = path)""")
 register("pr_names", pr_names, "select c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_') as key, c_mktsegment as cohort from customer")
+
+from pulsecohort.plans import more  # noqa: E402, F401

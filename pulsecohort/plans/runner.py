@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsecohort.functions import wave
-from pulsecohort.operators import absolute, filters, harmonic, lowrank, scoring, shape, variability
+from pulsecohort.operators import absolute, filters, harmonic, lowrank, patients, reports, scoring, shape, variability, windkessel, womersley
 from pulsecohort.plans import registry
 from pulsecohort.plans.registry import pipeline, postprocess
+from pulsecohort.sources import scratch
 
 LONG = ["acq", "cohort", "vessel", "representation", "beat", "branch", "radius"]
 
@@ -53,6 +54,82 @@ def _lowrank(waveforms: DataFrame) -> DataFrame:
     return wide.unpivot(LONG, ["eta1", "eta2", "eta3", "eta23", "effective_rank", "participation_ratio"], "metric", "value")
 
 
+def _long(wide: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of the long form of a table that has some of its keys; the others are null."""
+    kinds = {"cohort": "string", "beat": "int", "branch": "int", "radius": "int"}
+    for k, t in kinds.items():
+        if k not in wide.columns:
+            wide = wide.withColumn(k, F.lit(None).cast(t))
+    return wide.select(*LONG, *[F.col(n).cast("double").alias(n) for n in names]).unpivot(LONG, names, "metric", "value")
+
+
+@pipeline("waveform_harmonic_summary", "energy, rolloff and phase organisation of each waveform's harmonics")
+def _summary(waveforms: DataFrame) -> DataFrame:
+    return shape.long_form(shape.harmonic_summary(waveforms), [*shape.ENERGY, *shape.ROLLOFF, *shape.PHASE])
+
+
+@pipeline("waveform_harmonic_organization_SVD", "leading complex mode, its heterogeneity, and the rank-one tensor")
+def _svd(waveforms: DataFrame) -> DataFrame:
+    n = harmonic.normalised(waveforms)
+    modes = lowrank.rank_one(n)
+    scores = lowrank.score_heterogeneity(lowrank.rank_one_scores(n, modes))
+    out = _long(modes, ["sigma1", "eta1", "rank_participation"]).unionByName(_long(scores, ["H_b", "H_kr"]))
+    return out.unionByName(_long(lowrank.tensor_modes(n).withColumnsRenamed({"lambda": "tensor_lambda", "eta": "tensor_eta"}), ["tensor_lambda", "tensor_eta"]))
+
+
+@pipeline("Windkessel_RC", "delay and time constant between artery and vein by three methods, and their consensus")
+def _windkessel(waveforms: DataFrame) -> DataFrame:
+    keys = ["acq", "cohort", "representation", "beat", "branch", "radius"]
+    a = waveforms.where("vessel = 'artery'").select(*keys, "T", F.col("v").alias("qa"))
+    v = waveforms.where("vessel = 'vein'").select(*keys, F.col("v").alias("qv"))
+    agreed = windkessel.consensus(windkessel.fits(a.join(v, keys).where("size(qa) = size(qv)")))
+    return _long(agreed.withColumn("vessel", F.lit("artery to vein")), ["tau_consensus_median", "delay_consensus_median", "tau_intermethod_range", "methods_valid_count"])
+
+
+@pipeline("ProfileAnalysis", "parabola through each profile, and relaxation of its peak along a branch")
+def _profiles(waveforms: DataFrame) -> DataFrame:
+    keys = ["acq", "vessel", "representation", "beat", "branch", "radius"]
+    fitted = womersley.parabola(waveforms, keys, "v")
+    lines = womersley.relaxation(fitted, ["acq", "vessel", "representation", "beat"])
+    return _long(fitted, ["A", "x0", "y0"]).unionByName(_long(lines, ["slope", "intercept", "r2"]))
+
+
+@pipeline("WomersleyModeling", "wall motion of the profiles of a segment over its beats")
+def _womersley(waveforms: DataFrame) -> DataFrame:
+    frames = waveforms.where("vessel = 'artery'").select("acq", "branch", "radius", F.col("beat").alias("t"), F.col("v").alias("profile"))
+    found = womersley.womersley(frames).withColumn("vessel", F.lit("artery")).withColumn("representation", F.lit("raw"))
+    return _long(found, ["r0", "jump_share"])
+
+
+@pipeline("modal_analysis", "singular values of a movie's beats, radius being the mode; takes frames (acq, t, m0, m2)")
+def _modal(frames: DataFrame) -> DataFrame:
+    m = lowrank.modal_movie(frames).withColumn("vessel", F.lit(None).cast("string")).withColumn("representation", F.lit("movie"))
+    return _long(m.withColumn("radius", F.col("mode")), ["sigma"])
+
+
+@postprocess("Fixed thresholds", "evaluation against the fixed panel", after=[["waveform_shape_metrics"], ["waveform_harmonic_summary"]])
+def _fixed(metrics: DataFrame) -> dict[str, DataFrame]:
+    values = metrics.where(F.col("pipeline").isin("waveform_shape_metrics", "waveform_harmonic_summary")).groupBy("acq", "metric").agg(F.median("value").alias("value"))
+    rows = patients.evaluate_metrics(values, patients.panel(metrics.sparkSession))
+    return {"metrics": rows, "patients": patients.evaluate(rows)}
+
+
+@postprocess("Group comparison", "statistics of the shown metrics by cohort, and the file nearest to each median", after=[["waveform_shape_metrics", "waveform_shape_metrics_denoised"]])
+def _groups(metrics: DataFrame) -> dict[str, DataFrame]:
+    values = reports.selected(scoring.per_file(metrics))
+    return {"groups": reports.group_stats(values), "representative": reports.representative(values.select("acq", "cohort", "metric", "value"))}
+
+
+@postprocess("Metrics manifest", "what each file has", after=[])
+def _manifest(metrics: DataFrame) -> dict[str, DataFrame]:
+    return {"manifest": reports.manifest(metrics.select("acq", "pipeline", F.concat_ws("/", "vessel", "representation", "metric").alias("path")))}
+
+
+@postprocess("HTML summary", "median and deviation of each metric of a file by vessel", after=[])
+def _html(metrics: DataFrame) -> dict[str, DataFrame]:
+    return {"files": reports.file_summary(metrics)}
+
+
 @postprocess("Variability and heterogeneity", "rankings, contrasts and separation of segment metrics", after=[["waveform_shape_metrics", "waveform_shape_metrics_denoised"]])
 def _variability(metrics: DataFrame) -> dict[str, DataFrame]:
     rows = variability.prefer(metrics.withColumn("source", F.col("pipeline")), ["waveform_shape_metrics_denoised", "waveform_shape_metrics"])
@@ -78,6 +155,8 @@ class Run:
     metrics: DataFrame | None = None
     reports: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
     failures: list[tuple[str, str]] = field(default_factory=list)
+    #: Waveforms that nothing could be computed on, a row each.
+    refused: DataFrame | None = None
     seconds: dict[str, float] = field(default_factory=dict)
 
 
@@ -108,10 +187,12 @@ def isolated(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(run, f"{schema}, error string")
 
 
-def run(waveforms: DataFrame, pipelines: list[str], postprocesses: list[str] = (), settle=None) -> Run:
+def run(waveforms: DataFrame, pipelines: list[str], postprocesses: list[str] = (), settle=scratch.settle) -> Run:
     """Run pipelines, then postprocesses over what they gave; unknown names and unmet requirements are refused before anything runs.
 
-    ``settle`` may write a pipeline's rows to a table and read them back.
+    Waveforms that can't be used become rows of ``refused``. A pipeline's rows,
+    and a report's, are computed and written by ``settle`` before the next one
+    begins, so that what fails while it runs is a failure of that one alone.
     """
     unknown = [n for n in (*pipelines, *postprocesses) if n not in registry.PIPELINES and n not in registry.POSTPROCESSES]
     if unknown:
@@ -120,11 +201,12 @@ def run(waveforms: DataFrame, pipelines: list[str], postprocesses: list[str] = (
         if registry.unmet(p, set(pipelines)):
             raise ValueError(f"{p} needs one of {registry.unmet(p, set(pipelines))[0]}")
     out = Run()
+    framed = "v" not in waveforms.columns
+    good, out.refused = (waveforms, None) if framed else usable(waveforms)
     for name in pipelines:
         began = time.time()
         try:
-            rows = registry.PIPELINES[name](waveforms).withColumn("pipeline", F.lit(name))
-            rows = settle(rows) if settle else rows
+            rows = settle(registry.PIPELINES[name](good).withColumn("pipeline", F.lit(name)))
             out.metrics = rows if out.metrics is None else out.metrics.unionByName(rows)
         except Exception as e:
             out.failures.append((name, f"{type(e).__name__}: {e}"))
@@ -132,7 +214,7 @@ def run(waveforms: DataFrame, pipelines: list[str], postprocesses: list[str] = (
     for name in postprocesses:
         began = time.time()
         try:
-            out.reports[name] = registry.POSTPROCESSES[name](out.metrics)
+            out.reports[name] = {k: settle(df) for k, df in registry.POSTPROCESSES[name](out.metrics).items()}
         except Exception as e:
             out.failures.append((name, f"{type(e).__name__}: {e}"))
         out.seconds[name] = time.time() - began

@@ -31,6 +31,13 @@ samples as (
 }
 KEYS = "acq, cohort, beat, branch, radius"
 
+#: The embeddings with rows as files have them: a period of zero, a sample that isn't finite (null here), no sample at all.
+VIEWS["corrupt"] = VIEWS["embeddings"].replace("samples as (", "sound as (", 1) + """,
+samples as (
+  select k, acq, cohort, beat, branch, radius, i, n, case when beat = 0 then 0.0 else T end as T,
+         case when beat in (1, 2) and i = 3 then null when beat = 3 and branch = 0 then null else raw end as raw
+  from sound)"""
+
 #: From samples to rectified ones, whole-wave sums, gradients and profile points.
 PREPARED = f"""
 rect as (select *, case when raw is not null then greatest(raw, 0) end as x, coalesce(case when raw is not null then greatest(raw, 0) end, 0) as z, T / n as dt from samples),
@@ -90,6 +97,23 @@ shape as (
   from base join quants using (k) join spectrum using (k) join moments using (k) join spread using (k) join skew using (k) join sums using (k) join grads using (k))"""
 
 
+def unsigned(text: str) -> str:
+    """Every round(...) with 0 added, which turns a negative zero into zero."""
+    out, at = [], 0
+    while (start := text.find("round(", at)) >= 0:
+        if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+            out.append(text[at : start + 6])
+            at = start + 6
+            continue
+        depth, end = 1, start + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        out.append(f"{text[at:start]}(round({unsigned(text[start + 6 : end - 1])}) + 0)")
+        at = end
+    return "".join(out) + text[at:]
+
+
 def ctes(view: str, *parts: str) -> str:
     return "with " + ",".join([VIEWS[view], *parts])
 

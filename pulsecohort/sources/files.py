@@ -105,6 +105,35 @@ def missing_paths(datasets: DataFrame, required: DataFrame) -> DataFrame:
     return need.join(datasets.select("acq", "path"), ["acq", "path"], "left_anti")
 
 
+def read_or_default(keys: DataFrame, datasets: DataFrame, key: str, value: str, default: float) -> DataFrame:
+    """Every key with its value, or the default where there is none."""
+    return keys.select(key).join(datasets.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def ordered_distinct(rows: DataFrame, name: str, position: str) -> DataFrame:
+    """The first row of each name, by position."""
+    others = [c for c in rows.columns if c != name]
+    return rows.groupBy(name).agg(F.min_by(F.struct(*others), F.col(position)).alias("r")).select(name, "r.*")
+
+
+def output_or_input(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
+    """By position the processed file if it is compatible, else the input if that is, else nothing: (position, path, side)."""
+    o = outputs.where("compatible").select("position", F.col("path").alias("_out"))
+    i = inputs.where("compatible").select("position", F.col("path").alias("_in"))
+    return o.join(i, "position", "full").select("position", F.coalesce("_out", "_in").alias("path"), F.when(F.col("_out").isNull(), "input").otherwise("output").alias("side"))
+
+
+def name_list(text: str) -> list[str]:
+    """Names in a text: a bracketed list, or one a line; blank lines and # comments are skipped, a repeated name counts once, in order."""
+    text = text.strip()
+    if text.startswith("[") and text.endswith("]"):
+        parts = text[1:-1].replace(",", " ").split()
+        names = [p.strip("'\"") for p in parts]
+    else:
+        names = [x.strip() for x in text.splitlines()]
+    return list(dict.fromkeys(n for n in names if n and not n.startswith("#")))
+
+
 def version_stamp(upstream: Column, name: str, version: str) -> Column:
     """Upstream versions (JSON text) with ours beside them."""
     old = F.coalesce(F.from_json(upstream, "map<string,string>"), F.create_map().cast("map<string,string>"))

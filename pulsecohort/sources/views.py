@@ -34,6 +34,16 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings with rows as files have them: a period of zero (beat 0), a NaN (1), an infinity (2), no sample at all (3, branch 0)."""
+    def broken(x, i):
+        at = i == 3
+        bad = F.when((F.col("beat") == 1) & at, F.lit(float("nan"))).when((F.col("beat") == 2) & at, F.lit(float("inf")))
+        return F.when((F.col("beat") == 3) & (F.col("branch") == 0), F.lit(None).cast("double")).otherwise(F.coalesce(bad, x))
+
+    return embeddings(spark, sf_dir).withColumn("v", F.transform("v", broken)).withColumn("T", F.when(F.col("beat") == 0, F.lit(0.0)).otherwise(F.col("T")))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's values in time order; the period is the time that they span, in seconds."""
     rows = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")

@@ -1,13 +1,14 @@
 """Operators against NumPy or by hand, where SQL does not reach."""
 
 import json
+import math
 import zipfile
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from pulsecohort.functions import special, wave
-from pulsecohort.operators import filters, lowrank, patients, scoring, shape, topology, windkessel, womersley
+from pulsecohort.operators import filters, lowrank, patients, reports, scoring, shape, topology, windkessel, womersley
 from pulsecohort.plans import registry, runner
 from pulsecohort.sources import files
 from pulsecohort.streaming import arrivals
@@ -146,6 +147,88 @@ def test_runner_records_failures_and_refuses_unmet_needs(spark):
     assert ("waveform_shape_metrics", "39 shape metrics of each waveform", True) in registry.catalog()
 
 
+def test_a_pipeline_that_fails_while_it_runs_is_a_failure_row(spark):
+    t = np.arange(32)
+    w = waves(spark, [(2 + np.sin(t / 5 + k)).tolist() for k in range(4)]).unionByName(waves(spark, [[], [float("nan")] * 4]))
+
+    @registry.pipeline("raises", "")
+    def raises(waveforms):
+        return waveforms.select(F.raise_error(F.lit("no")).cast("double").alias("value"))
+
+    try:
+        out = runner.run(w, ["raises", "waveform_shape_metrics", "waveform_harmonic_summary"], ["Fixed thresholds", "Group comparison", "Metrics manifest", "HTML summary"])
+    finally:
+        del registry.PIPELINES["raises"]
+    assert [f[0] for f in out.failures] == ["raises"] and out.refused.count() == 2
+    assert out.reports["Fixed thresholds"]["patients"].first()["coverage_fraction"] == 1.0
+    assert out.reports["Group comparison"]["groups"].count() == len(set(reports.SELECTED_METRICS))
+    assert len(registry.PIPELINES) >= 11
+
+
+def test_all_pipelines_run(spark):
+    t = np.arange(48)
+    rows = [(k, "control", vessel, "raw", b, 0, r, 1.0, (3 + np.sin(t / 6 + k + 0.1 * b) + 0.3 * np.cos(t / 3) + 0.1 * r + 0.05 * (vessel == "vein")).tolist()) for k in range(2) for vessel in ("artery", "vein") for b in range(3) for r in range(2)]
+    names = [n for n in registry.PIPELINES if n != "modal_analysis"]
+    out = runner.run(spark.createDataFrame(rows, WAVE), names)
+    assert not out.failures and {r[0] for r in out.metrics.select("pipeline").distinct().collect()} == set(names)
+
+
+def test_exact_mann_whitney_of_any_size():
+    # more than 20,000 pairs: against the normal approximation, and whole numbers against doubles
+    p = special.mann_whitney_exact(8 * 3000 * 0.7, 8, 3000)
+    z = (8 * 3000 * 0.2 - 0.5) / np.sqrt(8 * 3000 * 3009 / 12)
+    assert abs(p - 2 * (1 - 0.5 * (1 + math.erf(z / np.sqrt(2))))) < 0.01
+    assert special.mann_whitney_exact(20_001, 1, 20_001) == 2 / 20_002
+    counts = special._arrangements(6, 40)
+    assert counts.dtype == np.int64 and counts.sum() == math.comb(46, 6) and (counts == counts[::-1]).all()
+    big = special._arrangements(8, 4000)
+    assert big.dtype == np.float64 and abs(big.sum() / math.comb(4008, 8) - 1) < 1e-6 and np.allclose(big, big[::-1], rtol=1e-3)
+
+
+def test_denoised_stays_in_range(spark):
+    g = np.random.default_rng(4)
+    vs = [(g.normal(0.02, 1, 64) * 10 ** g.integers(0, 3)).tolist() for _ in range(9)]
+    for r, v in zip(filters.denoise(waves(spark, vs)).orderBy("acq").collect(), vs):
+        margin = 0.05 * (max(v) - min(v)) + 1e-9
+        assert r["status_code"] == 0 and min(v) - margin <= min(r["v"]) and max(r["v"]) <= max(v) + margin
+
+
+def test_modes_against_numpy(spark):
+    g = np.random.default_rng(5)
+    x = g.standard_normal((12, 20)) + np.outer(np.sin(np.arange(12)), 3 + g.standard_normal(20))
+    w = spark.createDataFrame([(0, "control", "artery", "raw", i // 4, i % 4, 0, 1.0, x[:, i].tolist()) for i in range(20)], WAVE)
+    c = lowrank.mode_columns(w, lowrank.pulsatility_modes(w))
+    table = {r["mode"]: r for r in lowrank.residual_ratios(c).collect()}
+    x = x - x.mean(axis=0)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    total = np.sqrt((x**2).mean(axis=0))
+    for m in (1, 2, 3):
+        left = np.sqrt(((x - u[:, :m] @ np.diag(s[:m]) @ vt[:m]) ** 2).mean(axis=0))
+        assert np.isclose(table[m]["rho"], np.median(left) / np.median(total)) and np.isclose(table[m]["A"], np.median(np.abs(s[m - 1] * vt[m - 1])) / np.sqrt(12))
+        assert np.median([r["score"] for r in c.where(F.col("mode") == m).collect()]) >= 0
+    few = lowrank.pulsatility_modes(w.where("branch = 0 and beat < 2")).first()
+    assert few["svd_available"] == 0 and few["reason"] == "too_few_valid_columns"
+
+
+def test_rank_one_scores_against_numpy(spark):
+    g = np.random.default_rng(6)
+    x = g.standard_normal((24, 4)) + 1j * g.standard_normal((24, 4))
+    rows = [(0, "artery", "raw", i // 6, i % 3, i // 3 % 2, h + 2, float(x[i, h].real), float(x[i, h].imag), 1.0, True) for i in range(24) for h in range(4)]
+    n = spark.createDataFrame(rows, "acq long, vessel string, representation string, beat int, branch int, radius int, h int, re double, im double, rel_amp double, valid boolean")
+    modes = lowrank.rank_one(n)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.isclose(modes.first()["sigma1"], s[0]) and np.isclose(modes.first()["eta1"], s[0] ** 2 / (s**2).sum())
+    scores = lowrank.rank_one_scores(n, modes)
+    assert np.allclose(sorted(r["size"] for r in scores.collect()), sorted(np.abs(x @ vt[0].conj())))
+    h = lowrank.score_heterogeneity(scores).first()
+    xi = np.abs((x @ vt[0].conj()).reshape(4, 6).mean(axis=1))
+    assert np.isclose(h["H_b"], xi.std() / (xi.mean() + 1e-12)) and h["H_b_n"] == 4
+
+
+def test_name_lists():
+    assert files.name_list("a\n# no\n\n b \na") == ["a", "b"] and files.name_list("['x', y,x]") == ["x", "y"] and files.name_list("") == []
+
+
 def test_arriving_files_are_processed_once(spark, tmp_path):
     waves(spark, [[1.0, 2.0, 3.0]]).write.parquet(str(tmp_path / "in"))
     q = arrivals.process(arrivals.arriving(spark, str(tmp_path / "in")), lambda d: shape.shape_metrics(d, ["RI"]), str(tmp_path / "out"), str(tmp_path / "cp"))

@@ -11,7 +11,7 @@ from pulsecohort.plans import queries as engine
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Its groups are so small here that the exact test is used, which SQL does not have.
-ELSEWHERE = {"ag_mwu_p"}
+ELSEWHERE = {"ag_mwu_p", "vh_mwu_ranking", "vh_separation"}
 
 
 @pytest.fixture(scope="module")
