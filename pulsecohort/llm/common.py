@@ -26,12 +26,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, one of our own, but only if all of Spark is on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
