@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -63,15 +64,16 @@ def corpus_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0)).alias("b")).first()["b"])
 
 
-def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salt_by: Column | None = None, salts: int = SALTS) -> DataFrame:
+def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salt_by: Column | None = None, salts: int = SALTS, merge: bool = False) -> DataFrame:
     """Join many rows to a table with one row a key, with a hot key's rows dealt over several tasks.
 
     ``small`` is repeated ``salts`` times, so it should be the smaller side by that factor.
+    With ``merge`` it's sorted and merged whatever its size, and never held by every executor.
     """
     salt = F.pmod(F.xxhash64(salt_by if salt_by is not None else F.monotonically_increasing_id()), F.lit(salts)).cast("int")
     left = big.withColumn("_salt", salt)
     right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge") if merge else right, [*keys, "_salt"], how).drop("_salt")
 
 
 def train_fold(doc_id: Column) -> Column:
@@ -119,7 +121,10 @@ def keeps(owner: str, clear) -> None:
 
 
 def only(owner: str) -> None:
-    """A worker keeps the tables of one operator at a time: the others' go when this one's task begins."""
+    """A worker keeps the tables of one operator at a time: the others' go when this one's task begins.
+
+    What the worker's last task has freed goes back to the system too.
+    """
     global _owner
     if owner != _owner:
         for k, clear in _tables.items():
@@ -127,8 +132,17 @@ def only(owner: str) -> None:
                 clear()
         if _owner in _tables:
             gc.collect()
-            pa.default_memory_pool().release_unused()
         _owner = owner
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library keeps what it keeps
+    _libc = None
 
 
 def small_batches(rows, most: int = 1000):

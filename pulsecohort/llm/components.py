@@ -20,7 +20,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (
-        salted_lookup(both.where("v > u"), least, ["u"], "inner", F.col("v"))
+        salted_lookup(both.where("v > u"), least, ["u"], "inner", F.col("v"), merge=True)
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .where("u != v").distinct()
     )
@@ -29,7 +29,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = salted_lookup(down, least, ["u"], "inner", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = salted_lookup(down, least, ["u"], "inner", F.col("v"), merge=True).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
     return moved.unionByName(own).where("u != v").distinct()
 

@@ -124,7 +124,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     with_u = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
     centre = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
     hubs = pairs.select("v").distinct()
-    both = salted_lookup(with_u, centre.join(hubs, "v", "left_semi"), ["v"], "inner", F.col("u"), 8).select("u", "v", "su", "sv")
+    both = salted_lookup(with_u, centre.join(hubs, "v", "left_semi"), ["v"], "inner", F.col("u"), 8, merge=True).select("u", "v", "su", "sv")
 
     def run(rows):
         only("neardup")
@@ -240,7 +240,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, rows
     member = classes.select("cid", "node", F.explode("bands").alias("bucket"))
     order = F.struct("node", "cid")
     stars = member.groupBy("bucket").agg(F.min(order).alias("c"), F.max(order).alias("top")).where("c.cid != top.cid").select("bucket", F.col("c.cid").alias("v"))
-    star = salted_lookup(member.select("bucket", F.col("cid").alias("u")), stars, ["bucket"], "inner", F.col("u")).where("u != v")
+    star = salted_lookup(member.select("bucket", F.col("cid").alias("u")), stars, ["bucket"], "inner", F.col("u"), merge=True).where("u != v")
     star = settle(star.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared")), "stars")
     # a class is in one bucket a band, so this window sees as many rows as there are bands at most
     best = star.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("shared"), "v"))).where(F.col("r") <= CENTRES).select("u", "v")
@@ -258,7 +258,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, rows
     placed = settle(placed, "placed")
     sizes = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("members")).where("parts > 1").select("cluster", F.col("main.part").alias("main"), "members")
-    rest = salted_lookup(placed, open_, ["cluster"], "inner", F.col("cid")).join(sets.withColumnRenamed("node", "cid"), "cid").withColumnRenamed("cid", "node")
+    rest = salted_lookup(placed, open_, ["cluster"], "inner", F.col("cid"), merge=True).join(sets.withColumnRenamed("node", "cid"), "cid").withColumnRenamed("cid", "node")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rest = settle(rest, "open").withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     queries = rest.where("part != main").select("cluster", F.col("own").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("mb"), "node", "part", "shingles")
@@ -269,8 +269,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, rows
     final = components(links.unionByName(settle(more, "more")))
     joined = classes.select(*key, "node", "copies", "cid").join(final.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = joined.groupBy("component").agg(F.min("node").alias("least"), F.sum("copies").alias("size"))
-    named = salted_lookup(joined, least, ["component"], "inner", F.col("cid")).where("size > 1").select(*key, "least")
-    out = salted_lookup(each.select("doc_id", "rid", "n_shingles", *key), named, key, "left", F.monotonically_increasing_id())
+    named = salted_lookup(joined, least, ["component"], "inner", F.col("cid"), merge=True).where("size > 1").select(*key, "least")
+    out = salted_lookup(each.select("doc_id", "rid", "n_shingles", *key), named, key, "left", F.monotonically_increasing_id(), merge=True)
     component = F.when(F.coalesce("least", F.lit(NO_ID)) == NO_ID, F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "rid", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
