@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
@@ -44,6 +45,18 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_transfers(spark: SparkSession, limit: int = 4 << 20):
+    """While tables are settled inside, Arrow batches to Python end at about ``limit`` bytes, whatever their rows; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark drop shuffle files that nothing refers to any more: it does so when the driver collects its garbage.
 
@@ -133,6 +146,11 @@ def only(owner: str) -> None:
         if _owner in _tables:
             gc.collect()
         _owner = owner
+    trim()
+
+
+def trim() -> None:
+    """Freed memory goes back to the system; a worker that waits for a task should hold little."""
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
@@ -150,6 +168,7 @@ def small_batches(rows, most: int = 1000):
     for b in rows:
         for i in range(0, b.num_rows, most):
             yield b.slice(i, most)
+    trim()
 
 
 def sliced(rows, column: str, limit: int):

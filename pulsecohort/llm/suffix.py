@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bytes_of, corpus_bytes, only, release, settle, sliced
+from .common import NO_ID, bytes_of, corpus_bytes, only, release, settle, sliced, small_transfers, trim
 
 PREFIX = 25
 #: Input bytes for which a bucket is made.
 BUCKET_BYTES = 6 << 20
 #: Text bytes whose pairs a task dedups at once, and bytes for which names are held at once.
-CHUNK_BYTES, SEGMENT = 8 << 20, 2 << 20
+CHUNK_BYTES, SEGMENT = 2 << 20, 256 << 10
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -339,6 +339,7 @@ def _emit_runs(prefix: int, buckets: int):
             marked = np.unique(doc[again & ~later])
             found += pack_spans(MARK, row[marked], 0 * marked, 0 * marked, buckets)
             yield _batch(found)
+        trim()
 
     return run
 
@@ -465,7 +466,8 @@ def remove_repeats(documents: DataFrame, prefix: int = PREFIX) -> DataFrame:
     docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("row", F.xxhash64("doc_id", "text", "lang", "source"))
     runs = docs.select("row", "id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_emit_runs(prefix, buckets), _OUT)
     # the runs are most of what is dealt: once they are reranked their shuffle can go
-    ranked = settle(runs.groupBy("bucket").applyInArrow(_rerank_runs(buckets), _OUT), "ranked")
+    with small_transfers(docs.sparkSession):
+        ranked = settle(runs.groupBy("bucket").applyInArrow(_rerank_runs(buckets), _OUT), "ranked")
     release(docs.sparkSession)
     texts = docs.withColumn("bucket", F.pmod("row", F.lit(buckets).cast("long")))
     asked, known = ranked.where(F.col("kind") == OPEN).toDF("kind", "bucket", "payload"), ranked.where(F.col("kind") != OPEN).toDF("kind", "bucket", "payload")
