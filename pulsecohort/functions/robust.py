@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsecohort.functions import wave
+
 EPS = 1e-12
 #: z at 97.5 percent, as the interval is defined.
 Z95 = 1.96
@@ -53,6 +55,25 @@ def axis_statistics(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     )
 
 
+def block_statistics(x: str) -> list[Column]:
+    """median, std, iqr, mad and cv of x in one aggregate, for groups that an acquisition's geometry bounds.
+
+    The values of a group are held as one sorted array; ``axis_statistics`` is for groups of any size.
+    """
+    values = F.sort_array(F.collect_list(x))
+
+    def at(s: Column, q: float) -> Column:
+        place = (F.size(s) - 1) * F.lit(q)
+        low, high = F.get(s, F.floor(place).cast("int")), F.get(s, F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    def spread(s: Column) -> Column:
+        return wave.let(at(s, 0.5), lambda m: at(F.sort_array(F.transform(s, lambda y: F.abs(y - m))), 0.5))
+
+    of = lambda f: wave.let(values, f)
+    return [of(lambda s: at(s, 0.5)).alias("median"), std1(x).alias("std"), of(lambda s: at(s, 0.75) - at(s, 0.25)).alias("iqr"), of(spread).alias("mad"), cv1(x).alias("cv")]
+
+
 def summarise(x: str) -> list[Column]:
     return [F.count(x).alias("n"), F.avg(x).alias("mean"), std1(x).alias("std"), F.median(x).alias("median"), iqr(x).alias("iqr")]
 

@@ -25,10 +25,12 @@ def finite(rows: DataFrame) -> DataFrame:
 
 def higher_metrics(rows: DataFrame) -> DataFrame:
     """Nine descriptors of each acquisition and metric: over segments then beats, and over beats then segments."""
-    v = finite(rows)
-    over_segments = robust.axis_statistics(v, [*FILE, "beat"], "value").groupBy(*FILE).agg(*[F.median(c).alias(f"{c.upper() if c != 'median' else 'MED'}_seg_medbeat") for c in ("median", "std", "iqr", "mad", "cv")])
-    over_beats = robust.axis_statistics(v, [*FILE, "branch", "radius"], "value").groupBy(*FILE).agg(*[F.median(c).alias(f"{c.upper()}_beat_medseg") for c in ("std", "iqr", "mad", "cv")])
-    return over_segments.join(over_beats, FILE)
+    segment = ["branch", "radius"]
+    blocks = finite(rows).groupingSets([[*FILE, "beat"], [*FILE, *segment]], *FILE, "beat", *segment).agg(F.grouping("beat").alias("_over_beats"), *robust.block_statistics("value"))
+    of = lambda c, over_beats: F.median(F.when(F.col("_over_beats") == over_beats, F.col(c)))
+    names = ["std", "iqr", "mad", "cv"]
+    spatial = [of("median", 0).alias(LEVEL), *[of(c, 0).alias(f"{c.upper()}_seg_medbeat") for c in names]]
+    return blocks.groupBy(*FILE).agg(*spatial, *[of(c, 1).alias(f"{c.upper()}_beat_medseg") for c in names])
 
 
 def prefer(rows: DataFrame, order: list[str], source: str = "source") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsecohort.operators import absolute, shape
 from pulsecohort.plans import sql
-from pulsecohort.sources import views
+from pulsecohort.sources import scratch, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -585,8 +585,8 @@ def _beats(spark, sf_dir):
     return m.unpivot(["acq", "cohort", "vessel", "representation", "beat"], CS_METRICS, "metric", "value")
 
 
-def _marked(spark, sf_dir):
-    v = scoring.per_file(_beats(spark, sf_dir)).withColumn("value", F.round("value", 9))
+def _marked(spark, sf_dir, beats=None):
+    v = scoring.per_file(beats if beats is not None else _beats(spark, sf_dir)).withColumn("value", F.round("value", 9))
     return v.withColumn("pathology", F.col("cohort") == "pathology")
 
 
@@ -600,8 +600,8 @@ ctl as (select g, case when stddev_samp(value) > 0 then stddev_samp(value) else
 parts as (select acq, cohort, metric, greatest(0, max(dir * (value - th) / sd)) as z from beats join split on g = metric join ctl using (g) group by acq, cohort, metric)"""
 
 
-def _split(spark, sf_dir, with_p=False):
-    return scoring.splits(_marked(spark, sf_dir), with_p)
+def _split(spark, sf_dir, with_p=False, beats=None):
+    return scoring.splits(_marked(spark, sf_dir, beats), with_p)
 
 
 def cs_split(spark, sf_dir):
@@ -622,8 +622,9 @@ def cs_p_values(spark, sf_dir):
 
 
 def _parts(spark, sf_dir):
-    panel = _split(spark, sf_dir).select("vessel", "representation", "metric", "threshold", "direction", "control_std")
-    return scoring.contributions(_beats(spark, sf_dir), panel)
+    beats = scratch.settle(_beats(spark, sf_dir))  # read for the split and again for the contributions
+    panel = _split(spark, sf_dir, beats=beats).select("vessel", "representation", "metric", "threshold", "direction", "control_std")
+    return scoring.contributions(beats, panel)
 
 
 def cs_was(spark, sf_dir):

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pulsecohort.functions import wave
 
 WAVEFORM = "acq long, cohort string, vessel string, representation string, beat int, branch int, radius int, T double, v array<double>"
+#: Ids that one task ranks within a group.
+RANGE = 1_000_000
 KEYS = ["acq", "cohort", "vessel", "representation", "beat", "branch", "radius"]
 
 
@@ -25,9 +27,24 @@ def _shaped(df: DataFrame, **columns) -> DataFrame:
     return df.select(*[given[c].cast(kinds[c]).alias(c) for c in kinds])
 
 
+def ranked_within(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """Rank from 0 of the whole number ``order`` in its group, by ranges of it, so that a large group is many tasks.
+
+    Only a row for each range passes through a window of the whole group. A null
+    group is a group; null orders come first, equal ones in any order.
+    """
+    ranges = df.withColumn("_range", F.floor(F.col(order) / RANGE))
+    counts = ranges.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_g", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = ranges.withColumn(name, F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)) - 1)
+    joined = placed.join(starts, placed[group].eqNullSafe(starts["_g"]) & placed["_range"].eqNullSafe(starts["_r"]))
+    return joined.withColumn(name, F.col(name) + F.col("_start")).drop("_g", "_r", "_start", "_range")
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label's vectors as one acquisition: beat, branch and radius from the rank of vec_id in the label."""
-    ranked = load(spark, sf_dir, "embeddings").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    ranked = ranked_within(load(spark, sf_dir, "embeddings"), "label", "vec_id", "r")
     return _shaped(
         ranked, acq=F.col("label"), cohort=F.when(F.col("label") < 5, "control").otherwise("pathology"),
         beat=F.col("r") % 5, branch=F.floor(F.col("r") / 5) % 3, radius=F.floor(F.col("r") / 15), v=wave.clean(F.col("embedding")),
