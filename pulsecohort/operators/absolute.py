@@ -139,3 +139,20 @@ def band_qc(pairs: DataFrame, rectify: bool = False) -> DataFrame:
         "raw_band_vti_difference": wave.total(e) * dt, "raw_band_corr": F.when((F.sqrt(va / k) > EPS) & (F.sqrt(vb / k) > EPS), cov / F.sqrt(va * vb)),
     }
     return base.select(*[c for c in KEYS if c in pairs.columns], *[F.when(k > 0, f).alias(m) for m, f in out.items()])
+
+
+def expected_range(metric: Column) -> Column:
+    """Mathematical range of a metric by its name, not a physiological one: unit, positive, within_beat, signed or nonnegative."""
+    signed = ["dvdt_max", "dvdt_min", "raw_minus_band_mean", "raw_minus_band_bias", "raw_band_vti_difference"]
+    return (
+        F.when(metric == "raw_band_corr", "unit").when(metric == "beat_period", "positive").when(metric.startswith("t_") | (metric == "peak_to_trough_time"), "within_beat")
+        .when(metric.isin(signed), "signed").otherwise("nonnegative")
+    )
+
+
+def outside_range(rows: DataFrame, period: str = "T") -> DataFrame:
+    """Rows of (metric, value, period) with ``kind`` and whether the value leaves its range; a null value never does."""
+    x, t = F.col("value"), F.col(period)
+    out = rows.withColumn("kind", expected_range(F.col("metric")))
+    bad = F.when(F.col("kind") == "unit", F.abs(x) > 1 + 1e-9).when(F.col("kind") == "positive", x <= 0).when(F.col("kind") == "within_beat", (x < 0) | (x >= t)).when(F.col("kind") == "nonnegative", x < 0)
+    return out.withColumn("outside", F.coalesce(bad, F.lit(False)))

@@ -66,3 +66,14 @@ def patient_ids(files: DataFrame, name: str = "file_name") -> DataFrame:
     out = files.withColumn("_b", F.when(base == "", "patient").otherwise(base))
     k = F.row_number().over(Window.partitionBy("_b").orderBy(name))
     return out.withColumn("patient_id", F.when(k == 1, F.col("_b")).otherwise(F.concat_ws("_", "_b", k.cast("string")))).drop("_b")
+
+
+def case_ids(files: DataFrame, path: str = "path", position: str = "position") -> DataFrame:
+    """group_name (the folder that holds the file, "root" without one), its case number in order of position, a label and a file stem."""
+    clean = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", ".", ".."))
+    group = F.coalesce(F.get(clean, F.size(clean) - 2), F.lit("root"))
+    k = F.row_number().over(Window.partitionBy("group_name").orderBy(position, path))
+    out = files.withColumn("group_name", group).withColumn("group_case_index", k)
+    bare = F.regexp_replace(F.regexp_replace("group_name", r"[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+$", "")
+    safe = F.substring(F.when(bare == "", "group").otherwise(bare), 1, 40)
+    return out.withColumns({"display_label": F.format_string("%s #%d", "group_name", "group_case_index"), "file_stem": F.format_string("%s_%03d", safe, "group_case_index")})

@@ -155,6 +155,43 @@ def motion(x: np.ndarray, harmonics: int = 3, jump: float = 0.5) -> tuple[np.nda
     return post, "jumping" if (post > jump).mean() > 0.05 else "periodic" if periodic else "still"
 
 
+#: A jump from this posterior on, frames that move together from this coherence on.
+JUMP, COHERENT = 0.9, 0.7
+
+
+def frame_classes(segments: DataFrame, jump: float = JUMP, coherent: float = COHERENT) -> DataFrame:
+    """How far a jump spreads in each frame, from rows of (acq, frame, branch, radius, probability, difference, normal_std).
+
+    spatial_class: 0 no segment jumps, 1 some do, 2 two or more of one branch, 3 two branches or more. Coherence is the
+    size of the sum of the jumping segments' scaled differences over the sum of their sizes, null where that is 0.
+    motion_class of a frame of class 3: 1 coherent, 2 not; else 0. A null probability is no jump and isn't in the mean.
+    """
+    high = F.coalesce(F.col("probability") >= jump, F.lit(False))
+    scaled = F.when(high & (F.col("normal_std") > 0), F.col("difference") / F.col("normal_std"))
+    branches = segments.groupBy("acq", "frame", "branch").agg(
+        F.sum("probability").alias("p"), F.count("probability").alias("n"), F.sum(high.cast("long")).alias("high"), F.sum(scaled).alias("signed"), F.sum(F.abs(scaled)).alias("size")
+    )
+    frames = branches.groupBy("acq", "frame").agg(
+        F.try_divide(F.sum("p"), F.sum("n")).alias("mean_probability"), F.sum((F.col("high") > 0).cast("long")).alias("active_branches"), F.sum("high").alias("high_segments"),
+        F.max("high").alias("_most"), F.try_divide(F.abs(F.sum("signed")), F.sum("size")).alias("coherence"),
+    )
+    spatial = F.when(F.col("active_branches") >= 2, 3).when(F.col("_most") >= 2, 2).when(F.col("high_segments") > 0, 1).otherwise(0)
+    whole = frames.withColumn("spatial_class", spatial).drop("_most")
+    return whole.withColumn("motion_class", F.when(F.col("spatial_class") < 3, 0).when(F.col("coherence") >= coherent, 1).otherwise(2))
+
+
+def profile_parts(v: Column) -> Column:
+    """What the mean (dc) and the first spatial harmonic (n1) make of a whole profile; null where a sample is missing."""
+    whole = F.when(F.forall(v, lambda x: x.isNotNull()) & (F.size(v) >= 3), v)
+
+    def parts(w):
+        none = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+        n, c0, c1 = F.size(w), wave.dft(w, F.lit(0)), wave.dft(w, F.lit(1))
+        return wave.let(F.struct(c0.alias("c0"), c1.alias("c1")), lambda c: F.struct(F.transform(w, lambda _: c["c0"]["re"]).alias("dc"), wave.reconstruct(F.array(none, c["c1"]), n).alias("n1")))
+
+    return F.when(whole.isNotNull(), wave.let(whole, parts))
+
+
 def womersley(profiles: DataFrame) -> DataFrame:
     """Model of each segment: ``profiles`` is (acq, branch, radius, t, profile array); a segment's frames are one group."""
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsecohort.functions import robust, wave
-from pulsecohort.operators import filters, harmonic, lowrank, patients, reports, scoring, shape, topology, variability
+from pulsecohort.operators import absolute, filters, harmonic, lowrank, patients, reports, scoring, shape, topology, variability, womersley
 from pulsecohort.plans import sql
 from pulsecohort.plans.queries import _CS, _ERF, _PANEL_SQL, _PE, _SEP, _V, ID, PE_METRICS, CS_METRICS, _beats, _evaluated, _marked, _parts, _scores, _segments, _split, register, rounded, vh_separation
-from pulsecohort.sources import files, views
+from pulsecohort.sources import files, outputs, views
 
 # harmonic energy, rolloff and phases --------------------------------------------------------------------------------------------
 
@@ -413,3 +413,74 @@ register("io_ordered_distinct", first_seen, "select event_type || '-' || user_id
 register("wm_rd_matrix", wm_rd_matrix, "select l_suppkey as branch, arg_min(l_quantity, (l_orderkey, l_linenumber, l_quantity)) as RD from lineitem group by l_suppkey")
 register("io_read_or_default", io_default, "select c_custkey as acq, coalesce(v, -1.0) as value from customer left join (select o_custkey, round(max(o_totalprice), 2) as v from orders where o_orderstatus = 'F' group by o_custkey) on o_custkey = c_custkey")
 register("rp_slice", rp_slice, f"{sql.ctes('embeddings')} select acq, i, round(raw, 6) as x from samples where beat = 1 and branch = 2 and radius = 0")
+
+
+# where outputs go, cases, frames that move, ranges --------------------------------------------------------------------------------
+
+def _paths(spark, sf_dir):
+    n = F.col("s_suppkey")
+    stem = F.concat(F.lit("/data/"), F.col("s_nationkey").cast("string"), F.lit("/rec "), n.cast("string"))
+    name = F.concat(F.lit("rec "), n.cast("string"))
+    path = (
+        F.when(n % 5 == 0, F.concat(stem, F.lit(".holo"))).when(n % 5 == 1, F.concat(stem, F.lit("/"), name, F.lit("_EF/h5/"), name, F.lit("_ef.h5")))
+        .when(n % 5 == 2, F.concat(name, F.lit("_HD/a_DV/x.h5"))).when(n % 5 == 3, F.concat(stem, F.lit("_Ef.hdf5"))).otherwise(F.concat(F.lit("/"), name, F.lit("_AE")))
+    )
+    return views.load(spark, sf_dir, "supplier").select(n.alias("id"), path.alias("path"))
+
+
+def io_paths(spark, sf_dir):
+    p = F.col("path")
+    return _paths(spark, sf_dir).select("id", outputs.dataset_root(p).alias("root"), outputs.companion_folder(p, "AE", "html").alias("html"), outputs.output_name(p).alias("output"))
+
+
+def io_free_names(spark, sf_dir):
+    rows = views.load(spark, sf_dir, "nation").select("n_regionkey", F.substring("n_name", 1, 1).alias("tree"), "n_nationkey")
+    return outputs.free_names(rows, "n_regionkey", "tree", "n_nationkey")
+
+
+def pe_cases(spark, sf_dir):
+    s = views.load(spark, sf_dir, "customer").select(F.concat(F.lit("h5\\"), F.col("c_mktsegment"), F.lit(" ("), (F.col("c_nationkey") % 3).cast("string"), F.lit(")/./p.h5")).alias("path"), F.col("c_custkey").alias("position"))
+    return patients.case_ids(s).select("position", "group_name", "group_case_index", "display_label", "file_stem")
+
+
+def wm_frames(spark, sf_dir):
+    li = views.load(spark, sf_dir, "lineitem")
+    rows = li.select(
+        (F.col("l_orderkey") % 7).alias("acq"), F.col("l_suppkey").alias("frame"), F.col("l_linenumber").alias("branch"), F.col("l_partkey").alias("radius"),
+        F.when(F.col("l_returnflag") != "A", F.col("l_quantity") / 53).alias("probability"), (F.col("l_discount") - 0.02).alias("difference"), F.col("l_tax").alias("normal_std"),
+    )
+    f = womersley.frame_classes(rows)
+    return f.select("acq", "frame", "active_branches", "high_segments", "spatial_class", "motion_class", *rounded(None, ["mean_probability", "coherence"], 6))
+
+
+def wm_parts(spark, sf_dir):
+    p = views.embeddings(spark, sf_dir).where("branch = 0").select("acq", "beat", "radius", womersley.profile_parts(F.col("v")).alias("p"))
+    both = p.select("acq", "beat", "radius", F.posexplode(F.arrays_zip(F.col("p.dc").alias("dc"), F.col("p.n1").alias("n1"))).alias("i", "s"))
+    return both.select("acq", "beat", "radius", "i", F.round("s.dc", 6).alias("dc"), F.round("s.n1", 6).alias("n1"))
+
+
+def ab_ranges(spark, sf_dir):
+    e = views.load(spark, sf_dir, "events").withColumn("metric", F.element_at(F.array(*[F.lit(m) for m in ("raw_band_corr", "beat_period", "t_peak", "dvdt_max", "vmean")]), (F.col("event_id") % 5 + 1).cast("int")))
+    rows = e.select("metric", (F.col("value") - 50).alias("value"), (F.col("user_id") % 40).cast("double").alias("T"))
+    return absolute.outside_range(rows).groupBy("metric", "kind").agg(F.count("value").alias("n"), F.count_if("outside").alias("outside"))
+
+
+register("io_output_paths", io_paths, """with p as (select s_suppkey as id, s_nationkey as g, 'rec ' || s_suppkey as nm from supplier),
+  r as (select id, nm, case id % 5 when 0 then '/data/' || g || '/' || nm when 1 then '/data/' || g || '/' || nm when 2 then nm || '_HD' when 4 then '/' end as root from p)
+  select id, root, case id % 5 when 4 then null when 3 then null when 2 then root || '/' || nm || '_HD_AE/html' else root || '/' || nm || '_AE/html' end as html, case id % 5 when 2 then nm || '_HD' when 4 then nm || '_AE' else nm end || '_AE.h5' as output from r""")
+register("io_free_names", io_free_names, """with r as (select n_regionkey, n_nationkey, n_name[1] as tree, row_number() over (partition by n_regionkey, n_name[1] order by n_nationkey) - 1 as k from nation)
+  select n_regionkey, n_nationkey, tree, case when k = 0 then tree else tree || '_' || k end as free_name from r""")
+register("pe_cases", pe_cases, """with c as (select c_custkey as position, c_mktsegment || ' (' || (c_nationkey % 3) || ')' as g, c_mktsegment || '_' || (c_nationkey % 3) as f from customer),
+  r as (select *, row_number() over (partition by g order by position) as k from c)
+  select position, g as group_name, k as group_case_index, g || ' #' || k as display_label, printf('%s_%03d', f, k) as file_stem from r""")
+register("wm_frame_classes", wm_frames, """with s as (select l_orderkey % 7 as acq, l_suppkey as frame, l_linenumber as branch, case when l_returnflag != 'A' then l_quantity / 53 end as p, l_discount - 0.02 as d, l_tax as sd from lineitem),
+  h as (select *, coalesce(p >= 0.9, false) as hi, case when coalesce(p >= 0.9, false) and sd > 0 then d / sd end as z from s),
+  b as (select acq, frame, branch, count(*) filter (hi) as n from h group by all), m as (select acq, frame, count(*) filter (n > 0) as active, max(n) as most, sum(n) as high from b group by all),
+  f as (select acq, frame, avg(p) as mp, abs(sum(z)) / nullif(sum(abs(z)), 0) as c from h group by all),
+  k as (select *, case when active >= 2 then 3 when most >= 2 then 2 when high > 0 then 1 else 0 end as sc from m join f using (acq, frame))
+  select acq, frame, active as active_branches, high as high_segments, sc as spatial_class, case when sc < 3 then 0 when c >= 0.7 then 1 else 2 end as motion_class, round(mp, 6) as mean_probability, round(c, 6) as coherence from k""")
+register("wm_profile_parts", wm_parts, f"""{sql.ctes('embeddings')}, c as (select k, avg(raw) as dc, sum(raw * cos(2 * pi() * i / n)) / max(n) as re, -sum(raw * sin(2 * pi() * i / n)) / max(n) as im from samples where branch = 0 group by k)
+  select acq, beat, radius, i, round(dc, 6) as dc, round(2 * (re * cos(2 * pi() * i / n) - im * sin(2 * pi() * i / n)), 6) as n1 from samples join c using (k)""")
+register("ab_expected_ranges", ab_ranges, """with e as (select ['raw_band_corr', 'beat_period', 't_peak', 'dvdt_max', 'vmean'][event_id % 5 + 1] as metric, value - 50 as x, user_id % 40 as t from events),
+  b as (select metric, x, case metric when 'raw_band_corr' then abs(x) > 1 + 1e-9 when 'beat_period' then x <= 0 when 't_peak' then x < 0 or x >= t when 'vmean' then x < 0 else false end as bad from e)
+  select metric, case metric when 'raw_band_corr' then 'unit' when 'beat_period' then 'positive' when 't_peak' then 'within_beat' when 'vmean' then 'nonnegative' else 'signed' end as kind, count(x) as n, count(*) filter (bad) as outside from b group by all""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsecohort.functions import special, wave
 from pulsecohort.operators import filters, lowrank, patients, reports, scoring, shape, topology, windkessel, womersley
 from pulsecohort.plans import registry, runner
-from pulsecohort.sources import files
+from pulsecohort.sources import files, outputs
 from pulsecohort.streaming import arrivals
 
 WAVE = "acq long, cohort string, vessel string, representation string, beat int, branch int, radius int, T double, v array<double>"
@@ -234,3 +234,49 @@ def test_arriving_files_are_processed_once(spark, tmp_path):
     q = arrivals.process(arrivals.arriving(spark, str(tmp_path / "in")), lambda d: shape.shape_metrics(d, ["RI"]), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_free_names_are_taken_in_order(spark):
+    given = [("f", 0, "a"), ("f", 1, "a_1"), ("f", 2, "a"), ("f", 3, "a"), ("f", 4, "a_1"), ("f", 5, None), ("g", 0, "a")]
+    got = outputs.free_names(spark.createDataFrame(given, "file string, at int, tree string"), "file", "tree", "at").orderBy("file", "at").collect()
+    taken, want = {}, []
+    for file, _, name in given:
+        used, tries = taken.setdefault(file, set()), [name or "tree"] + [f"{name or 'tree'}_{i}" for i in range(1, 9)]
+        want.append(next(t for t in tries if t not in used))
+        used.add(want[-1])
+    assert [r["free_name"] for r in got] == want
+    assert outputs.free_names(spark.createDataFrame([], "file string, at int, tree string"), "file", "tree", "at").count() == 0
+
+
+def test_archives_are_read_back(spark, tmp_path):
+    rows = [("x", "b/2.csv", b"two"), ("x", "a.csv", b"one"), ("y", "c", None)]
+    got = outputs.archives(spark.createDataFrame(rows, "study string, path string, content binary"), "study").orderBy("study").collect()
+    assert [(r["study"], r["members"]) for r in got] == [("x", 2), ("y", 1)]
+    for r in got:
+        (tmp_path / f"{r['study']}.zip").write_bytes(bytes(r["archive"]))
+    back = files.archive_members(spark, str(tmp_path), content=True).select("member", "content").orderBy("member").collect()
+    assert [(r["member"], bytes(r["content"])) for r in back] == [("a.csv", b"one"), ("b/2.csv", b"two"), ("c", b"")]
+
+
+def test_input_plans(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in ("a.h5", "b.HDF5", "c.txt"):
+        (tmp_path / "in" / n).write_bytes(b"x")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("q/a.h5", b"x")
+        z.writestr("q/n.txt", b"x")
+    plan = lambda *p: (lambda k, d: (k, d.count()))(*outputs.input_plan(spark, [str(x) for x in p]))
+    assert plan() == ("folder", 0) and plan(tmp_path / "in" / "a.h5") == ("file", 1) and plan(tmp_path / "in") == ("folder", 2) and plan(tmp_path / "z.zip") == ("zip", 1)
+    assert plan(tmp_path / "in" / "a.h5", tmp_path / "in" / "b.HDF5") == ("file", 2)
+    try:
+        plan(tmp_path / "in" / "a.h5", tmp_path / "in" / "c.txt")
+        raise AssertionError("a text was taken")
+    except ValueError as e:
+        assert "c.txt" in str(e)
+
+
+def test_profile_parts_need_whole_profiles(spark):
+    d = spark.createDataFrame([([1.0, 2.0, 4.0, 1.0],), ([1.0, None, 2.0],), ([],), (None,)], "v array<double>").select(womersley.profile_parts(F.col("v")).alias("p")).collect()
+    c = np.fft.rfft([1.0, 2.0, 4.0, 1.0])
+    assert np.allclose(d[0]["p"]["n1"], np.fft.irfft(c * [0, 1, 0])) and np.allclose(d[0]["p"]["dc"], 2.0)
+    assert all(r["p"] is None for r in d[1:])
