@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, settle, texts_of, train_fold
+from .common import first_by_hash, salted_lookup, settle, texts_of, train_fold
 
 FIT_ROWS = 20_000
 SITE_WEIGHT = 0.5
@@ -103,7 +103,8 @@ def quality_scores(documents: DataFrame, labels: DataFrame, host: str = "source"
     each = settle(docs.mapInArrow(run, "doc_id long, host string, path string, x array<double>"), "quality-features")
 
     known = labels.where(train_fold(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("double").alias("y"))
-    sample = each.select("doc_id", "x").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("x", "y").collect()
+    labelled = settle(each.select("doc_id", "x").join(known, "doc_id"), "quality-labelled")
+    sample = first_by_hash(labelled, "doc_id", FIT_ROWS, labelled.count()).select("x", "y").collect()
     y = np.array([r["y"] for r in sample])
     beta = _fit(np.array([r["x"] for r in sample]), y) if len(set(y)) == 2 else np.zeros(2 * FEATURES + 1)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pulsecohort.llm import bpe, chat, components, decontam, neardup, quality, queries, rules, sitetree, sql, store, suffix, toxicity
+from pulsecohort.llm import bpe, chat, common, components, decontam, neardup, quality, queries, rules, sitetree, sql, store, suffix, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -458,3 +458,10 @@ def test_pipeline_by_brute_force(spark):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, FOLDER).collect()}
     assert got == {d: (len(library.encode_ordinary(t)), sha(t.encode())) for d, t in kept}
+
+
+def test_first_by_hash_is_the_sort_with_a_limit(spark):
+    d = spark.range(40_000).withColumnRenamed("id", "doc_id")
+    want = [r["doc_id"] for r in d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(500).collect()]
+    assert [r["doc_id"] for r in common.first_by_hash(d, "doc_id", 500, 40_000).collect()] == want
+    assert common.first_by_hash(d.where("doc_id < 9"), "doc_id", 500, 9).count() == 9 and common.first_by_hash(d.limit(0), "doc_id", 500, 0).count() == 0
