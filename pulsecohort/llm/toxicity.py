@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, texts_of, train_fold
+from .common import first_by_hash, settle, texts_of, train_fold
 
 #: Labelled rows that are learned from at most: those with the least hashes of their ids.
 FIT_ROWS = 50_000
@@ -222,7 +222,7 @@ def _logistic(bins: dict[tuple[float, int], int]) -> tuple[float, float]:
 def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Learn from the rows of ``train_fold`` that have a 0 / 1 label."""
     known = labels.where(train_fold(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    known = first_by_hash(known, "doc_id", FIT_ROWS, known.count())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # at most FIT_ROWS pairs of numbers go to every worker, so no text is dealt
     rows = settle(documents.where(train_fold(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(known), "doc_id").select("text", "label"), "toxic-rows")
