@@ -387,8 +387,9 @@ def wm_parabola(spark, sf_dir):
 
 
 def wm_relaxation(spark, sf_dir):
-    lines = womersley.parabola(views.embeddings(spark, sf_dir).withColumn("radius", F.col("beat") * 10 + F.col("radius")), ["acq", "branch", "radius"], "v")
-    return womersley.relaxation(lines.withColumn("y0", F.round("y0", 4)), ["acq"]).select("acq", "branch", "circles", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 5).alias("r2"), "rank")
+    # beat and radius stay apart in the fit: from radius 10 on, two of them have one circle number
+    lines = womersley.parabola(views.embeddings(spark, sf_dir), ["acq", "beat", "branch", "radius"], "v").withColumn("circle", F.col("beat") * 10 + F.col("radius"))
+    return womersley.relaxation(lines.withColumn("y0", F.round("y0", 4)), ["acq"], circle="circle").select("acq", "branch", "circles", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 5).alias("r2"), "rank")
 
 
 register("wm_parabola", wm_parabola, f"{sql.ctes('embeddings', _PARABOLA)} select acq, beat, branch, radius, round(A, 8) as A, round(y0, 4) as y0 from para")
