@@ -155,16 +155,18 @@ def motion(x: np.ndarray, harmonics: int = 3, jump: float = 0.5) -> tuple[np.nda
     return post, "jumping" if (post > jump).mean() > 0.05 else "periodic" if periodic else "still"
 
 
-#: A jump from this posterior on, frames that move together from this coherence on.
-JUMP, COHERENT = 0.9, 0.7
+#: A jump from this posterior on, frames that move together from this coherence on, and what rounding can make of a coherence at most.
+JUMP, COHERENT, ROUNDING = 0.9, 0.7, 1e-9
 
 
-def frame_classes(segments: DataFrame, jump: float = JUMP, coherent: float = COHERENT) -> DataFrame:
+def frame_classes(segments: DataFrame, jump: float = JUMP, coherent: float = COHERENT, order: list[str] | None = None) -> DataFrame:
     """How far a jump spreads in each frame, from rows of (acq, frame, branch, radius, probability, difference, normal_std).
 
     spatial_class: 0 no segment jumps, 1 some do, 2 two or more of one branch, 3 two branches or more. Coherence is the
     size of the sum of the jumping segments' scaled differences over the sum of their sizes, null where that is 0.
     motion_class of a frame of class 3: 1 coherent, 2 not; else 0. A null probability is no jump and isn't in the mean.
+    A coherence that is the bound but for rounding reaches it, in whatever order it was summed; where the columns
+    ``order`` are named, the sums of such a frame are added up row by row in that order instead, and decide.
     """
     high = F.coalesce(F.col("probability") >= jump, F.lit(False))
     scaled = F.when(high & (F.col("normal_std") > 0), F.col("difference") / F.col("normal_std"))
@@ -177,7 +179,16 @@ def frame_classes(segments: DataFrame, jump: float = JUMP, coherent: float = COH
     )
     spatial = F.when(F.col("active_branches") >= 2, 3).when(F.col("_most") >= 2, 2).when(F.col("high_segments") > 0, 1).otherwise(0)
     whole = frames.withColumn("spatial_class", spatial).drop("_most")
-    return whole.withColumn("motion_class", F.when(F.col("spatial_class") < 3, 0).when(F.col("coherence") >= coherent, 1).otherwise(2))
+    reached = F.col("coherence") >= coherent - ROUNDING
+    if order:
+        open_ = whole.where((F.col("spatial_class") == 3) & (F.abs(F.col("coherence") - coherent) <= ROUNDING)).select("acq", "frame")
+        rows = segments.select("acq", "frame", *order, scaled.alias("z")).where("z is not null").join(open_, ["acq", "frame"])
+        so_far = Window.partitionBy("acq", "frame").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = rows.select("acq", "frame", F.count("z").over(so_far).alias("at"), F.sum("z").over(so_far).alias("signed"), F.sum(F.abs("z")).over(so_far).alias("size"))
+        added = sums.groupBy("acq", "frame").agg(F.max_by(F.try_divide(F.abs("signed"), F.col("size")), "at").alias("_added"))
+        whole = whole.join(added, ["acq", "frame"], "left")
+        reached = F.coalesce(F.col("_added") >= coherent, reached)
+    return whole.withColumn("motion_class", F.when(F.col("spatial_class") < 3, 0).when(reached, 1).otherwise(2)).drop("_added")
 
 
 def profile_parts(v: Column) -> Column:

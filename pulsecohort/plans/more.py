@@ -448,8 +448,10 @@ def wm_frames(spark, sf_dir):
     rows = li.select(
         (F.col("l_orderkey") % 7).alias("acq"), F.col("l_suppkey").alias("frame"), F.col("l_linenumber").alias("branch"), F.col("l_partkey").alias("radius"),
         F.when(F.col("l_returnflag") != "A", F.col("l_quantity") / 53).alias("probability"), (F.col("l_discount") - 0.02).alias("difference"), F.col("l_tax").alias("normal_std"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
     )
-    f = womersley.frame_classes(rows)
+    # at the bound the SQL decides by the rounding of sums in the order of the rows
+    f = womersley.frame_classes(rows, order=["file", "row"])
     return f.select("acq", "frame", "active_branches", "high_segments", "spatial_class", "motion_class", *rounded(None, ["mean_probability", "coherence"], 6))
 
 

@@ -1,5 +1,6 @@
 """Engine queries against their SQL on tables that are larger, or tie more, than the smallest ones."""
 
+import itertools
 import math
 
 import duckdb
@@ -7,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from pyspark.sql import functions as F
+
+from pulsecohort.operators import womersley
 from pulsecohort.plans import queries as engine
 
 
@@ -36,3 +40,15 @@ def test_circles_of_many_radii(spark, tmp_path):
     pq.write_table(pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float32())), "label": pa.array([i % 2 for i in range(n)], pa.int32())}), tmp_path / "embeddings.parquet")
     got, want = both(spark, tmp_path, "wm_relaxation_topk", "embeddings")
     assert len(got) == 6 and got == want
+
+
+def test_coherence_at_its_bound(spark, tmp_path):
+    """Differences whose coherence is 7/10: the order in which they are added decides on which side of 0.7 it comes out."""
+    lines = list(itertools.permutations([(0.02, 0.03, 1), (0.06, 0.06, 2), (0.01, 0.07, 3), (0.03, 0.07, 4)]))
+    rows = [{"l_orderkey": 7 * i + 3, "l_partkey": 1, "l_suppkey": i, "l_linenumber": n, "l_quantity": 50.0, "l_discount": d, "l_tax": t, "l_returnflag": "N"} for i, frame in enumerate(lines) for d, t, n in frame]
+    pq.write_table(pa.Table.from_pylist(rows).set_column(3, "l_linenumber", pa.array([x["l_linenumber"] for x in rows], pa.int32())), tmp_path / "lineitem.parquet")
+    got, want = both(spark, tmp_path, "wm_frame_classes", "lineitem")
+    assert len(got) == len(lines) and got == want
+    given = spark.createDataFrame([(1, i, n, 1, 0.95, d - 0.02, t) for i, frame in enumerate(lines) for d, t, n in frame], "acq long, frame long, branch int, radius int, probability double, difference double, normal_std double")
+    # without an order all of them reach the bound
+    assert [r["motion_class"] for r in womersley.frame_classes(given).select(F.col("motion_class")).distinct().collect()] == [1]
