@@ -3,8 +3,7 @@
 1. Texts become word hashes (lower case, ASCII punctuation as white space).
    Words fall into ``FEATURES`` hashed features; passages of ``PASSAGE`` words
    give document frequencies over all rows, hence idf weights.
-2. One pass over the passages of some ``FIT_DOCUMENTS`` documents (all, if there
-   are no more) sums Y = sum of a (a' Omega) for their normalised TF-IDF vectors
+2. One pass over the passages of all documents sums Y = sum of a (a' Omega) for their normalised TF-IDF vectors
    a and a fixed Gaussian Omega of ``RANK`` columns. Y is a sketch
    of the Gram matrix; the Nystrom form Y (Omega' Y)^-1 Y' gives its singular
    vectors, which is a randomised SVD in one distributed pass.
@@ -49,13 +48,15 @@ FEATURES, RANK, PASSAGE, STEP = 1 << 14, 32, 64, 12
 #: Words of the windows, short and long, and the item passage length up to which the short ones serve.
 SHORT, LONG, SHORT_ITEM = 24, 48, 33
 NEAR, SHARED, SAME, PARAPHRASE, ANSWER = 0.4, 0.4, 0.75, 0.6, 0.8
-#: Weight from which a word is informative, and the documents that the latent index is fitted on.
-RARE, FIT_DOCUMENTS = 3.0, 20_000
+#: Weight from which a word is informative, and the documents that the latent index is fitted on: all (None), or some so many.
+RARE, FIT_DOCUMENTS = 3.0, None
 LEAST_WORDS = 8
 #: Of an item's rarest words, those that must be met beyond what may be missing.
 MORE = 4
 QUERY_BLOCK = 4096
 SUM_BLOCK = 256
+#: Passages of a feature that the sketch adds up at once.
+LINE = 16
 
 _SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -173,26 +174,44 @@ def sketch_matrix(rank: int = RANK, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((FEATURES, rank)).astype(np.float32)
 
 
+def _row_sums(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``table`` that each row of ``at`` names; little is gathered at a time."""
+    ones, step = np.ones((1, at.shape[1]), table.dtype), max(1, (1 << 14) // at.shape[1])
+    out = np.empty((len(at), table.shape[1]), table.dtype)
+    for a in range(0, len(at), step):
+        out[a : a + step] = (ones @ table.take(at[a : a + step], axis=0, mode="clip"))[:, 0]
+    return out
+
+
 def gram_sketch(words: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Y = sum over all passages of a (a' Omega), a being unit TF-IDF vectors."""
     weight = idf.astype(np.float32)
 
     def run(batches):
-        omega = sketch_matrix(rank) * weight[:, None]
+        # a passage a row, a feature's passages in rows of LINE; what a row lacks is the zero after the last
+        omega = np.vstack([sketch_matrix(rank) * weight[:, None], np.zeros((1, rank), np.float32)])
+        square = np.append(weight**2, np.float32(0))
         total = np.zeros((FEATURES, rank), np.float64)
         for b in batches:
-            for flat, ends, _ in _flat(b.column(0), 1 << 18):
+            for flat, ends, _ in _flat(b.column(0), 1 << 19):
                 if not len(flat):
                     continue
                 start, _ = _groups(ends, PASSAGE)
                 f = (flat % FEATURES).astype(np.uint16)
                 own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(flat))))
-                norm = np.add.reduceat(weight[f] ** 2, start)
-                seen = np.add.reduceat(omega[f], start, axis=0) / np.maximum(norm, 1e-9)[:, None]
+                grid = np.full((len(start), PASSAGE), FEATURES)
+                grid[own, np.arange(len(flat)) - start[own]] = f
+                seen = np.zeros((len(start) + 1, rank), np.float32)
+                seen[:-1] = _row_sums(omega, grid) / np.maximum(square[grid].sum(axis=1), 1e-9)[:, None]
                 order = np.argsort(f, kind="stable")
                 ranked = f[order]
-                first = np.flatnonzero(np.diff(ranked, prepend=-1 if ranked.dtype.kind == "i" else ranked[0] + 1))
-                total[ranked[first]] += np.add.reduceat(seen[own[order]], first, axis=0) * weight[ranked[first], None]
+                first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+                size = np.diff(np.append(first, len(f)))
+                lines = -(-size // LINE)
+                base = np.cumsum(lines) - lines
+                slots = np.full(lines.sum() * LINE, len(start))
+                slots[np.arange(len(f)) + np.repeat(base * LINE - first, size)] = own[order]
+                total[ranked[first]] += np.add.reduceat(_row_sums(seen, slots.reshape(-1, LINE)), base, axis=0) * weight[ranked[first], None]
         yield _parts(total, _part())
 
     return _collected(_summed(words.select("words").mapInArrow(run, "block int, part int, payload binary"), SUM_BLOCK * rank), (FEATURES, rank))
@@ -213,12 +232,12 @@ def singular_vectors(y: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.nd
 def projection(words: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """What each feature adds to a window's latent vector (idf weighted, centred on the mean word, scaled to equal components), and idf.
 
-    Frequencies are those of all rows. The index is fitted on some
-    ``FIT_DOCUMENTS`` documents, those with the least hashes.
+    Frequencies are those of all rows, and the index is fitted on all rows, or
+    on some ``FIT_DOCUMENTS`` documents, those with the least hashes, where that is a number.
     """
     df, tf, passages = frequencies(words)
     idf = np.log((passages + 1) / (df + 1)) + 0.1
-    share = min(1.0, FIT_DOCUMENTS / max(1, words.count()))
+    share = 1.0 if FIT_DOCUMENTS is None else min(1.0, FIT_DOCUMENTS / max(1, words.count()))
     # of 2 ** 64 hashes the least ones, so that a share of any size takes its rows
     fitted = words.where(F.xxhash64("rid") < F.lit(int(share * 2.0**64) - 2**63)) if share < 1 else words
     sketch = gram_sketch(fitted, idf, rank)

@@ -389,6 +389,31 @@ def test_a_small_share_still_fits_the_index(spark, monkeypatch):
         decontam.leaks(d, b)
 
 
+def test_the_index_is_fitted_on_all_documents(spark, monkeypatch):
+    d = spark.range(20_600).selectExpr("id as doc_id", "concat_ws(' ', 'a', 'b', hash(id) % 50, id % 7) as text")
+    seen, real = [], decontam.gram_sketch
+    monkeypatch.setattr(decontam, "gram_sketch", lambda words, *more: seen.append(words.count()) or real(words, *more))
+    decontam.projection(decontam.word_table(d))
+    assert seen == [20_600]
+
+
+def test_sketch_of_the_gram_matrix(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, n) % 3000)) for i, n in enumerate([0, 1, 63, 64, 65, 129, 1000, 4000])]
+    idf = rng.random(decontam.FEATURES) * 8 + 0.1
+    omega = decontam.sketch_matrix().astype(float)
+    want = np.zeros((decontam.FEATURES, decontam.RANK))
+    for _, text in rows:
+        f = np.frombuffer(decontam._hashes(text), "<u4") % decontam.FEATURES
+        for at in range(0, len(f), decontam.PASSAGE):
+            part = f[at : at + decontam.PASSAGE]
+            # a word that stands twice weighs twice, and the length is that of its words
+            a = np.bincount(part, minlength=decontam.FEATURES) * idf
+            want += a[:, None] * (a @ omega) / (idf[part] ** 2).sum()
+    got = decontam.gram_sketch(decontam.word_table(docs(spark, rows)), idf)
+    assert np.abs(got - want).max() < 1e-5 * np.abs(want).max()
+
+
 def test_a_passage_of_a_long_item_is_a_leak(spark):
     words = [f"q{i}x" for i in range(200)]
     host = " ".join(f"h{i}" for i in range(300))
