@@ -159,14 +159,15 @@ def motion(x: np.ndarray, harmonics: int = 3, jump: float = 0.5) -> tuple[np.nda
 JUMP, COHERENT, ROUNDING = 0.9, 0.7, 1e-9
 
 
-def frame_classes(segments: DataFrame, jump: float = JUMP, coherent: float = COHERENT, order: list[str] | None = None) -> DataFrame:
+def frame_classes(segments: DataFrame, jump: float = JUMP, coherent: float = COHERENT, order: list[str] | None = None, digits: int = 6) -> DataFrame:
     """How far a jump spreads in each frame, from rows of (acq, frame, branch, radius, probability, difference, normal_std).
 
     spatial_class: 0 no segment jumps, 1 some do, 2 two or more of one branch, 3 two branches or more. Coherence is the
     size of the sum of the jumping segments' scaled differences over the sum of their sizes, null where that is 0.
     motion_class of a frame of class 3: 1 coherent, 2 not; else 0. A null probability is no jump and isn't in the mean.
     A coherence that is the bound but for rounding reaches it, in whatever order it was summed; where the columns
-    ``order`` are named, the sums of such a frame are added up row by row in that order instead, and decide.
+    ``order`` are named, the sums of such a frame are added up row by row in that order instead, and decide. So are
+    those of a frame whose coherence or mean is half-way between two numbers of ``digits`` digits but for rounding.
     """
     high = F.coalesce(F.col("probability") >= jump, F.lit(False))
     scaled = F.when(high & (F.col("normal_std") > 0), F.col("difference") / F.col("normal_std"))
@@ -175,20 +176,27 @@ def frame_classes(segments: DataFrame, jump: float = JUMP, coherent: float = COH
     )
     frames = branches.groupBy("acq", "frame").agg(
         F.try_divide(F.sum("p"), F.sum("n")).alias("mean_probability"), F.sum((F.col("high") > 0).cast("long")).alias("active_branches"), F.sum("high").alias("high_segments"),
-        F.max("high").alias("_most"), F.try_divide(F.abs(F.sum("signed")), F.sum("size")).alias("coherence"),
+        F.max("high").alias("_most"), F.try_divide(F.abs(F.sum("signed")), F.sum("size")).alias("coherence"), F.sum("n").alias("_n"),
     )
     spatial = F.when(F.col("active_branches") >= 2, 3).when(F.col("_most") >= 2, 2).when(F.col("high_segments") > 0, 1).otherwise(0)
     whole = frames.withColumn("spatial_class", spatial).drop("_most")
     reached = F.col("coherence") >= coherent - ROUNDING
     if order:
-        open_ = whole.where((F.col("spatial_class") == 3) & (F.abs(F.col("coherence") - coherent) <= ROUNDING)).select("acq", "frame")
-        rows = segments.select("acq", "frame", *order, scaled.alias("z")).where("z is not null").join(open_, ["acq", "frame"])
+        names = ["mean_probability", "coherence"]
+        # two orders of n additions are apart by 4 n / 2**53 at most: few frames but those that tie are left, so their rows alone are shuffled
+        apart = (F.col("_n") + 1) * 1e-15
+        halves = [F.abs(F.pmod(F.col(n) * 10.0**digits, F.lit(1.0)) - 0.5) <= apart * 10.0**digits for n in names]
+        bound = (F.col("spatial_class") == 3) & (F.abs(F.col("coherence") - coherent) <= apart)
+        open_ = whole.where(F.coalesce(halves[0], F.lit(False)) | F.coalesce(halves[1], F.lit(False)) | F.coalesce(bound, F.lit(False))).select("acq", "frame")
+        # a row with a scaled difference has a probability
+        rows = segments.select("acq", "frame", *order, "probability", scaled.alias("z")).where("probability is not null").join(F.broadcast(open_), ["acq", "frame"])
         so_far = Window.partitionBy("acq", "frame").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sums = rows.select("acq", "frame", F.count("z").over(so_far).alias("at"), F.sum("z").over(so_far).alias("signed"), F.sum(F.abs("z")).over(so_far).alias("size"))
-        added = sums.groupBy("acq", "frame").agg(F.max_by(F.try_divide(F.abs("signed"), F.col("size")), "at").alias("_added"))
-        whole = whole.join(added, ["acq", "frame"], "left")
-        reached = F.coalesce(F.col("_added") >= coherent, reached)
-    return whole.withColumn("motion_class", F.when(F.col("spatial_class") < 3, 0).when(reached, 1).otherwise(2)).drop("_added")
+        sums = rows.select("acq", "frame", *[f.over(so_far).alias(k) for k, f in {"at": F.count("probability"), "p": F.sum("probability"), "signed": F.sum("z"), "size": F.sum(F.abs("z"))}.items()])
+        ratios = sums.select("acq", "frame", "at", F.try_divide("p", "at").alias("_mean_probability"), F.try_divide(F.abs("signed"), F.col("size")).alias("_coherence"))
+        added = ratios.groupBy("acq", "frame").agg(*[F.max_by(f"_{n}", "at").alias(f"_{n}") for n in names])
+        whole = whole.join(added, ["acq", "frame"], "left").withColumns({n: F.coalesce(f"_{n}", n) for n in names})
+        reached = F.col("coherence") >= coherent
+    return whole.withColumn("motion_class", F.when(F.col("spatial_class") < 3, 0).when(reached, 1).otherwise(2)).drop("_n", "_mean_probability", "_coherence")
 
 
 def profile_parts(v: Column) -> Column:

@@ -450,9 +450,9 @@ def wm_frames(spark, sf_dir):
         F.when(F.col("l_returnflag") != "A", F.col("l_quantity") / 53).alias("probability"), (F.col("l_discount") - 0.02).alias("difference"), F.col("l_tax").alias("normal_std"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
     )
-    # at the bound the SQL decides by the rounding of sums in the order of the rows
-    f = womersley.frame_classes(rows, order=["file", "row"])
-    return f.select("acq", "frame", "active_branches", "high_segments", "spatial_class", "motion_class", *rounded(None, ["mean_probability", "coherence"], 6))
+    # at the bound and half-way between two results the SQL decides by the rounding of sums in the order of the rows; it rounds the product, Spark the decimal
+    f = womersley.frame_classes(rows, order=["file", "row"], digits=6)
+    return f.select("acq", "frame", "active_branches", "high_segments", "spatial_class", "motion_class", *[(F.round(F.col(n) * 1e6) / 1e6).alias(n) for n in ("mean_probability", "coherence")])
 
 
 def wm_parts(spark, sf_dir):

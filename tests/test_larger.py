@@ -52,3 +52,27 @@ def test_coherence_at_its_bound(spark, tmp_path):
     given = spark.createDataFrame([(1, i, n, 1, 0.95, d - 0.02, t) for i, frame in enumerate(lines) for d, t, n in frame], "acq long, frame long, branch int, radius int, probability double, difference double, normal_std double")
     # without an order all of them reach the bound
     assert [r["motion_class"] for r in womersley.frame_classes(given).select(F.col("motion_class")).distinct().collect()] == [1]
+
+
+def test_frames_half_way_between_two_results(spark, tmp_path):
+    """Coherences and means with a 5 as seventh digit: the order of the sums decides on the sixth, and how a double is rounded."""
+    rng = np.random.default_rng(1)
+    # discount and tax in hundredths; the coherences are 113, 109 and 23 parts of 128
+    tied = [[(5, 1), (1, 2), (2, 1), (4, 6), (8, 5), (4, 1), (8, 4)], [(8, 7), (0, 7), (4, 7), (3, 1), (2, 3), (8, 3), (8, 4), (1, 6)], [(0, 1), (8, 5), (0, 8), (8, 7), (5, 7), (5, 4), (2, 3)]]
+    frames = [[(50.0, d, t, n % 7 + 1) for n, (d, t) in enumerate(rows)] for rows in tied for _ in range(16)]
+    for n, parts in ((128, 61), (640, 301), (640, 303), (640, 307), (640, 309)):
+        for _ in range(8):
+            q = rng.integers(1, 45, n)
+            while (missing := 53 * parts - q.sum()) != 0:
+                i = rng.integers(n)
+                q[i] = np.clip(q[i] + missing, 1, 47)
+            frames.append([(float(x), 2, 1, k % 7 + 1) for k, x in enumerate(q)])
+    lines = [(i, *frame[k]) for i, frame in enumerate(frames) for k in rng.permutation(len(frame))]
+    frame, quantity, discount, tax, line = zip(*lines)
+    columns = {
+        "l_orderkey": pa.array([3] * len(lines), pa.int64()), "l_partkey": pa.array([1] * len(lines), pa.int64()), "l_suppkey": pa.array(frame, pa.int64()), "l_linenumber": pa.array(line, pa.int32()),
+        "l_quantity": quantity, "l_discount": [d / 100 for d in discount], "l_tax": [t / 100 for t in tax], "l_returnflag": ["N"] * len(lines),
+    }
+    pq.write_table(pa.table(columns), tmp_path / "lineitem.parquet")
+    got, want = both(spark, tmp_path, "wm_frame_classes", "lineitem")
+    assert len(got) == len(frames) and got == want
